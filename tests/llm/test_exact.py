@@ -64,3 +64,31 @@ def test_decontaminated_text_has_no_window(case):
     assert clean((r.doc_id, r.text) for r in kept.collect()) == clean(case[1])
     for r in kept.where(F.col("doc_id").isin([x for x in hits if x is not None])).collect():
         assert brute.BWORD.findall(brute.lower(r.text)) and len(r.text) < max(len(t) for d, t in case[1] if d == r.doc_id) and r.n_chars == len(r.text)
+
+
+def test_tokens(case):
+    import public_tokenizers
+    import tokenizers
+    from wirelake.llm import tokens
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = sorted(case[0].select("doc_id", "n_chars", F.xxhash64("text"), "text").collect(), key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r))
+    same(tokens.op3(case[0]), brute.op3([(r.doc_id, r.text) for r in rows], lambda x: t.encode(x, add_special_tokens=False).ids))
+
+
+def test_token_pages_are_read_selectively(spark, tmp_path):
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from wirelake.llm import tokens
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    path = str(tmp_path / "tokens")
+    tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), shards=2)
+    for f in (tmp_path / "tokens").glob("part-*"):
+        columns = [pq.ParquetFile(f).metadata.row_group(0).column(i) for i in range(5)]
+        assert all(c.has_column_index and c.has_offset_index for c in columns if c.path_in_schema == "doc_id")
+        assert "RLE_DICTIONARY" in columns[4].encodings
+    some = tokens.read_tokens(spark, path, 20, 29)
+    assert sorted(r.doc_id for r in some.select("doc_id").collect()) == list(range(20, 30))
+    everything = {r.doc_id: (r.start, r.tokens) for r in tokens.read_tokens(spark, path).collect()}
+    assert all(everything[r.doc_id] == (r.start, r.tokens) for r in some.collect())

@@ -17,6 +17,8 @@ def _over_documents(module: str, function: str, *others: str) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_output": _over_documents("tokens", "op3"),
+    "op4_language_id": _over_documents("language", "op4"),
     "op6_substring_dedup": _over_documents("substring", "op6"),
     "op8_simhash_near_dedup": _over_documents("simhash", "op8"),
     "op10_decontaminate": _over_documents("decontaminate", "op10", "benchmark"),
