@@ -92,3 +92,117 @@ def test_token_pages_are_read_selectively(spark, tmp_path):
     assert sorted(r.doc_id for r in some.select("doc_id").collect()) == list(range(20, 30))
     everything = {r.doc_id: (r.start, r.tokens) for r in tokens.read_tokens(spark, path).collect()}
     assert all(everything[r.doc_id] == (r.start, r.tokens) for r in some.collect())
+
+
+def test_line_dedup(case):
+    from wirelake.llm import lines
+
+    same(lines.op9(case[0]), brute.op9(case[1]))
+    for most, bits, sent in ((2, 10, 16 << 20), (3, None, 0), (10, 6, 0), (1, None, 0)):
+        got = lines.drop_lines(case[0], most, bits=bits, sent_bytes=sent)
+        same(got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)), brute.op9(case[1], most))
+
+
+@pytest.mark.parametrize("sent", [0, 16 << 20])
+def test_first_line_stays(spark, sent):
+    from wirelake.llm import lines
+
+    docs = spark.createDataFrame([(3, "a\nB \nc"), (1, " b\nx"), (2, "a\nb\na"), (None, "A")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in lines.drop_lines(docs, 2, keep_first=True, sent_bytes=sent).collect()}
+    assert got == {1: " b\nx", 2: "a", 3: "c", None: ""}
+
+
+def shares(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by source: shares stop at cap times the size, the excess is dealt again by weight."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, excess, free = dict.fromkeys(names, 0.0), float(sum(sizes.values())), set(names)
+    while excess > 1e-9 and free:
+        w, more = sum(weight[s] for s in free), 0.0
+        for s in free:
+            target[s] += excess * weight[s] / w
+        for s in list(free):
+            if target[s] >= cap * sizes[s]:
+                more += target[s] - cap * sizes[s]
+                target[s] = cap * sizes[s]
+                free.discard(s)
+        excess = more
+    return target
+
+
+def test_mix(case):
+    from wirelake.llm import mixing
+
+    rows = mixing.op1(case[0]).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.op1(case[0].repartition(7)).collect()), key=repr)
+    docs = [(r.doc_id, r.source, len(brute.WORD.findall(r.text or ""))) for r in case[0].select("doc_id", "source", "text").collect()]
+    assert sorted(((r.doc_id, r["size"]) for r in rows), key=repr) == sorted(((d, n) for d, _, n in docs), key=repr)
+    sizes = {}
+    for _, s, n in docs:
+        sizes[s] = sizes.get(s, 0) + n
+    want, source = shares(sizes), {(d, n): s for d, s, n in docs}
+    taken = dict.fromkeys(want, 0)
+    for r in rows:
+        s = source[r.doc_id, r["size"]]
+        assert r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"]
+        if r.doc_id is not None and r.doc_id != 40:
+            assert r.source_size == sizes[s] and r.target == pytest.approx(want[s])
+            taken[s] += r.taken
+    if len(rows) == 200:  # ten documents to a source
+        assert sum(-0.5 <= want[s] - taken[s] <= 3 for s in want) >= len(want) - 2, {s: (want[s], taken[s]) for s in want}
+    mixed = mixing.mixed(case[0])
+    assert mixed.columns == case[0].columns
+    assert mixed.count() == mixing.mix(case[0]).agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+
+
+def test_budget_fitting():
+    import numpy as np
+    from itertools import product
+    from wirelake.llm import mixing
+
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        lengths, counts = np.unique(r.integers(1, 30, 4)), r.integers(0, 4, 4)
+        counts = counts[: len(lengths)]
+        for budget in r.integers(0, 120, 5).tolist():
+            best = max(s for k in product(*(range(c + 1) for c in counts)) if (s := int(np.dot(k, lengths))) <= budget)
+            take = mixing.knapsack(budget, lengths, counts)
+            assert (take <= counts).all() and int(take @ lengths) == best
+            take = mixing.fit(budget, lengths, counts, 20)
+            assert (take <= counts).all() and 0 <= int(take @ lengths) <= max(budget, 0)
+    lengths = np.arange(1, 3000)
+    take = mixing.fit(1_234_567, lengths, np.full(2999, 7))
+    assert int(take @ lengths) == 1_234_567
+
+
+def test_mix_of_one_length_in_buckets(spark, monkeypatch):
+    from wirelake.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET", 10)
+    docs = spark.createDataFrame([(i, "two words", "ab"[i % 2 * (i < 300)]) for i in range(1000)], "doc_id long, text string, source string")
+    rows = mixing.op1(docs).collect()
+    assert sum(r.taken for r in rows) == pytest.approx(2000, abs=4)
+
+
+def test_pieces_are_cut_as_the_tokenizer_cuts():
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from wirelake.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = tokens.Encoder(path)
+    r = random.Random(3)
+    bits = [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", " ", "a", "don't", "we'll", "É", "é,", "×", "÷.", "²", "word", "Word,", "12", "3.5", "...", "(", ")", "'", "_", "#", "日本", "、", "́", "ß;", "<|endoftext|>", "\U0001f600", "İ", "\r\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(3000)]
+    for part in (texts[:10], texts, texts[::-1]):
+        ids, n = encode(pa.array(part, pa.string()))
+        at = 0
+        for t, k in zip(part, n.tolist(), strict=True):
+            assert ids[at : at + k].tolist() == [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0], repr(t)
+            at += k
+    tokens.KEPT_PIECES, kept = 50, tokens.KEPT_PIECES
+    again, _ = encode(pa.array(texts[::-1], pa.string()))
+    tokens.KEPT_PIECES = kept
+    assert (again == ids).all()
