@@ -149,7 +149,7 @@ def test_mix(case):
             assert r.source_size == sizes[s] and r.target == pytest.approx(want[s])
             taken[s] += r.taken
     if len(rows) == 200:  # ten documents to a source
-        assert sum(-0.5 <= want[s] - taken[s] <= 3 for s in want) >= len(want) - 2, {s: (want[s], taken[s]) for s in want}
+        assert all(abs(want[s] - taken[s]) <= 0.02 * want[s] for s in want), {s: (want[s], taken[s]) for s in want}
     mixed = mixing.mixed(case[0])
     assert mixed.columns == case[0].columns
     assert mixed.count() == mixing.mix(case[0]).agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
@@ -165,11 +165,11 @@ def test_budget_fitting():
         lengths, counts = np.unique(r.integers(1, 30, 4)), r.integers(0, 4, 4)
         counts = counts[: len(lengths)]
         for budget in r.integers(0, 120, 5).tolist():
-            best = max(s for k in product(*(range(c + 1) for c in counts)) if (s := int(np.dot(k, lengths))) <= budget)
+            best = min((int(np.dot(k, lengths)) for k in product(*(range(c + 1) for c in counts))), key=lambda s: (abs(s - budget), s))
             take = mixing.knapsack(budget, lengths, counts)
             assert (take <= counts).all() and int(take @ lengths) == best
             take = mixing.fit(budget, lengths, counts, 20)
-            assert (take <= counts).all() and 0 <= int(take @ lengths) <= max(budget, 0)
+            assert (take <= counts).all() and 0 <= int(take @ lengths) <= max(budget, 0) + 30
     lengths = np.arange(1, 3000)
     take = mixing.fit(1_234_567, lengths, np.full(2999, 7))
     assert int(take @ lengths) == 1_234_567

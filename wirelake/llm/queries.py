@@ -17,10 +17,12 @@ def _over_documents(module: str, function: str, *others: str) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": _over_documents("mixing", "op1"),
     "op3_token_output": _over_documents("tokens", "op3"),
     "op4_language_id": _over_documents("language", "op4"),
     "op6_substring_dedup": _over_documents("substring", "op6"),
     "op8_simhash_near_dedup": _over_documents("simhash", "op8"),
+    "op9_line_dedup": _over_documents("lines", "op9"),
     "op10_decontaminate": _over_documents("decontaminate", "op10", "benchmark"),
 }
 
