@@ -45,3 +45,78 @@ def test_unseen_words_are_read_by_ngrams():
     m = Model([("aa", "banana", 5), ("bb", "wollen", 5)])
     assert m.word("bananas")[0] > m.word("bananas")[1] and m.word("wolle")[1] > m.word("wolle")[0]
     assert not m.word("ζζ")[:].any() or m.word("ζζ")[0] == m.word("ζζ")[1]
+
+
+def test_quality(spark, docs, odd):
+    from wirelake.llm import quality_crf
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = quality_crf.op5(docs, labels).join(labels, "doc_id", "left").collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out and r.quality is not None]
+    good, bad = ([r.score for r in held if r.quality == q] for q in (1, 0))
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) > 0.95 * len(good) * len(bad)
+    assert sum(r.predicted == r.quality for r in held) > 0.93 * len(held)
+    again = {r.doc_id: r.score for r in quality_crf.op5(docs.repartition(9), labels.repartition(3)).collect()}
+    assert all(r.score == pytest.approx(again[r.doc_id], abs=1e-9) for r in rows)
+    few = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, None, 1), (43, 0, 0), (44, 0, 0), (None, 1, 1), (9, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    for some in (few, few.limit(0)):
+        out = quality_crf.op5(odd, some).collect()
+        assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
+    assert quality_crf.op5(odd.limit(0), few).collect() == []
+
+
+def test_forward_backward():
+    from itertools import product
+
+    import numpy as np
+    from wirelake.llm.quality_crf import marginals
+
+    r = np.random.default_rng(0)
+    counts = np.array([1, 4, 2, 0, 3])
+    unary, step = r.normal(size=(10, 2)), r.normal(size=(2, 2))
+    p, expected = marginals(unary, step, counts[counts > 0])
+    at, want, steps = 0, np.zeros((10, 2)), np.zeros((2, 2))
+    for n in counts[counts > 0]:
+        weights = {y: np.exp(sum(unary[at + i, s] for i, s in enumerate(y)) + sum(step[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=int(n))}
+        z = sum(weights.values())
+        for y, w in weights.items():
+            for i, s in enumerate(y):
+                want[at + i, s] += w / z
+            for a, b in zip(y, y[1:]):
+                steps[a, b] += w / z
+        at += n
+    assert np.allclose(p, want) and np.allclose(expected, steps)
+
+
+def test_secrets(spark, docs, odd):
+    from wirelake.llm import secrets
+
+    for df in (docs, odd, odd.limit(0)):
+        rows = secrets.op7(df).collect()
+        text = {(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()}
+        want = sorted((repr(d), *brute.op7_base(t)[0], brute.sha(brute.op7_base(t)[1])) for d, t in text)
+        assert sorted({(repr(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows}) == sorted(set(want))
+        assert len(rows) == df.count()
+        by = {d: t for d, t in text}
+        for r in rows:
+            spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+            assert spans == sorted(spans, key=lambda s: (s[0], secrets.KINDS.index(s[1]))) and all(0 <= a < b <= len(by[r.doc_id] or "") for a, _, b in spans)
+            base = ",".join(f"{k}:{a}:{b}" for a, k, b in spans if k != "markov")
+            assert brute.sha(base) == r.base_sha256
+    found = sum(r.n_markov > 0 for r in secrets.op7(docs).collect())
+    assert found < 0.02 * docs.count()
+
+
+def test_random_strings_are_told_from_words(spark):
+    from wirelake.llm import secrets
+
+    import random
+
+    r = random.Random(1)
+    words = ["configuration_value", "internationalization2", "read_the_first_line_4", "https-gateway-server-01", "transformation/of/data1"]
+    docs = spark.createDataFrame([(i, " ".join(r.choices("the quick value of configuration first server data line gateway and transformation read international".split(), k=60))) for i in range(300)], "doc_id long, text string")
+    models = secrets.learn(docs)
+    keys = secrets.random_strings(200, seed=99)
+    assert sum(bool(models.spans(f"x {k} y", [])) for k in keys) > 180
+    assert not any(models.spans(w, []) for w in words)

@@ -174,3 +174,13 @@ def _dropping(batches: Iterator[pa.RecordBatch], known: dict | None, keep_first:
 
 def op9(docs: DataFrame) -> DataFrame:
     return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The query's result for DuckDB; doc_ids are taken to be distinct.
+OP9_SQL = rf"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) pos from documents),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+often as (select key from k where key <> '' group by key having count(distinct doc_id) >= {MOST})
+select doc_id, count(*) n_lines, count(often.key) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where often.key is null), '')) kept_sha256
+from k left join often on k.key = often.key group by doc_id
+"""

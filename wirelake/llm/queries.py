@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .lines import OP9_SQL
+from .quality_rules import OP2_SQL
 
 
 def _over_documents(module: str, function: str, *others: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,12 +20,18 @@ def _over_documents(module: str, function: str, *others: str) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": _over_documents("mixing", "op1"),
+    "op2_quality_rules": _over_documents("quality_rules", "op2"),
     "op3_token_output": _over_documents("tokens", "op3"),
     "op4_language_id": _over_documents("language", "op4"),
+    "op5_quality_crf": _over_documents("quality_crf", "op5", "labels"),
     "op6_substring_dedup": _over_documents("substring", "op6"),
+    "op7_secret_scan": _over_documents("secrets", "op7"),
     "op8_simhash_near_dedup": _over_documents("simhash", "op8"),
     "op9_line_dedup": _over_documents("lines", "op9"),
     "op10_decontaminate": _over_documents("decontaminate", "op10", "benchmark"),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
