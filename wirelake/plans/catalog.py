@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fleet_queries, prepare_queries, request_queries, result_queries, schedule_queries  # noqa: F401
+from . import fleet_queries, prepare_queries, request_queries, result_queries, schedule_queries, store_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

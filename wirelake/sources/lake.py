@@ -12,9 +12,12 @@ from ..functions import exprs as X
 from ..operators import policy as D
 from ..operators import select as S
 
+#: Times are written to the microsecond, not to the millisecond that is the default.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def _objects(spark: SparkSession, path: str):
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl.gz")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz")
     return reader.schema(schemas.REQUEST + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").option("mode", "PERMISSIVE").json(path)
 
 
@@ -40,12 +43,12 @@ def read_capture(spark: SparkSession, root: str, capture_id: str, start: dt.date
 
 def rejects(spark: SparkSession, root: str, capture_id: str) -> DataFrame:
     """Malformed lines with their object and place."""
-    return read_lines(spark, root, capture_id).where("_corrupt_record is not null").select("object_key", "line", F.col("_corrupt_record").alias("text"))
+    return read_lines(spark, root, capture_id).where("_corrupt_record is not null and id is null").select("object_key", "line", F.col("_corrupt_record").alias("text"))
 
 
 def read_slice(spark: SparkSession, root: str, capture_id: str, index: int, count: int) -> DataFrame:
     """A shard that was written by write_shards; no hash is looked at again."""
-    return spark.read.schema(schemas.REQUEST).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").json(f"{root.rstrip('/')}/{capture_id}/shards/{index}-of-{count}")
+    return spark.read.schema(schemas.REQUEST).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").json(f"{root.rstrip('/')}/{capture_id}/shards/slice={index}-of-{count}")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +68,7 @@ def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: in
     """Gzip JSON lines in folders of the events' UTC days; empty fields are left out and bodies are base-64."""
     columns = [c.split()[0] for c in schemas.REQUEST.replace(", ", "\n").splitlines() if " " in c]
     out = df.select(*[c for c in columns if c in df.columns]).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
-    out.write.mode("overwrite").partitionBy("day").option("compression", "gzip").option("maxRecordsPerFile", rows_per_object).json(f"{root.rstrip('/')}/{capture_id}")
+    out.write.mode("overwrite").partitionBy("day").option("timestampFormat", MICROS).option("compression", "gzip").option("maxRecordsPerFile", rows_per_object).json(f"{root.rstrip('/')}/{capture_id}")
 
 
 def write_shards(df: DataFrame, root: str, capture_id: str, count: int) -> DataFrame:
@@ -78,7 +81,7 @@ def write_shards(df: DataFrame, root: str, capture_id: str, count: int) -> DataF
     sharded = S.with_shard(df, count)
     base = f"{root.rstrip('/')}/{capture_id}/shards"
     named = sharded.withColumn("slice", F.concat_ws("-of-", F.col("shard").cast("string"), F.lit(str(count)))).repartition(count, "shard")
-    named.drop("shard").write.mode("overwrite").partitionBy("slice").option("compression", "gzip").json(base)
+    named.drop("shard").write.mode("overwrite").partitionBy("slice").option("timestampFormat", MICROS).option("compression", "gzip").json(base)
     sums = D.digests(sharded.withColumn("line_text", F.to_json(F.struct("id", "method", "path"))), ["shard"])
     return S.shard_counts(sharded, count).join(sums.drop("n"), "shard", "left")
 
@@ -91,6 +94,11 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(pattern)
 
 
+def spark_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests that were written as lines of a table."""
+    return spark.read.schema(schemas.MANIFEST).json(path)
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """A line for each run."""
     reports.coalesce(1).write.mode("overwrite").json(path)

@@ -17,6 +17,7 @@ from .. import schemas
 from ..operators import fleet as L
 from ..operators import select as S
 from ..operators import transform as T
+from ..sources.lake import MICROS
 
 LATE = "10 minutes"
 
@@ -37,7 +38,7 @@ def counted(df: DataFrame, keep, name: str = "capture") -> DataFrame:
 
 def ingest(df: DataFrame, out: str, checkpoint: str, seconds: int | None = 5) -> StreamingQuery:
     """Writes days of gzip JSON lines; every `seconds`, or once over what is there."""
-    w = df.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).option("compression", "gzip").partitionBy("day")
+    w = df.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).option("timestampFormat", MICROS).option("compression", "gzip").partitionBy("day")
     return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
 
 
