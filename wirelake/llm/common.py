@@ -65,6 +65,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_BYTE
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> pa.Array:
