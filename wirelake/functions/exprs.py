@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MASK = 0xFFFFFFFF
 #: Credential headers that are redacted by default; headers of one hop only.
 CREDENTIAL_HEADERS = ("authorization", "cookie", "set-cookie", "proxy-authorization", "x-api-key", "x-auth-token")
-HOP_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "host")
+HOP_HEADERS = ("connection", "keep-alive", "proxy-connection", "transfer-encoding", "trailer", "upgrade", "host", "content-length")
 HEADERS = "map<string,array<string>>"
 
 
@@ -164,41 +164,41 @@ def duration_ns(text: Column | str) -> Column:
 def latency_text(ms: Column | str) -> Column:
     """42ms, 1.5s, 1m0s, 1h2m3.004s."""
     m = col(ms).cast("long")
-    seconds = (m % 60_000) / 1000
-    fine = F.regexp_replace(F.format_string("%.3f", seconds), r"\.?0+$", "")
-    s = F.when(fine == "", "0").otherwise(fine)
-    minutes, hours = F.expr(f"({_name(ms)} div 60000) % 60"), F.expr(f"{_name(ms)} div 3600000")
-    return (
-        F.when(m == 0, "0s").when(m < 1000, F.concat(m.cast("string"), F.lit("ms"))).when(m < 60_000, F.concat(s, F.lit("s")))
-        .when(m < 3_600_000, F.concat(minutes.cast("string"), F.lit("m"), s, F.lit("s")))
-        .otherwise(F.concat(hours.cast("string"), F.lit("h"), minutes.cast("string"), F.lit("m"), s, F.lit("s")))
-    )
-
-
-def _name(c: Column | str) -> str:
-    if not isinstance(c, str):
-        raise TypeError("a column's name is needed here")
-    return f"`{c}`"
+    whole = lambda c: F.floor(c).cast("string")
+    fine = F.regexp_replace(F.format_string("%.3f", (m % 60_000) / 1000), r"\.?0+$", "")
+    s = F.concat(F.when(fine == "", "0").otherwise(fine), F.lit("s"))
+    minutes, hours = F.concat(whole(m / 60_000 % 60), F.lit("m")), F.concat(whole(m / 3_600_000), F.lit("h"))
+    return F.when(m == 0, "0s").when(m < 1000, F.concat(m.cast("string"), F.lit("ms"))).when(m < 60_000, s).when(m < 3_600_000, F.concat(minutes, s)).otherwise(F.concat(hours, minutes, s))
 
 
 def parse_pairs(text: Column | str) -> Column:
-    """Map of 'k=v,k=v': cut at the first '=', trimmed, items without '=' or a name left out; the last of equals counts."""
-    items = F.filter(F.transform(F.split(col(text), ","), F.trim), lambda x: F.instr(x, "=") > 1)
+    """Map of 'k=v,k=v': cut at the first '=', trimmed, items without '=' left out; the last of equals counts."""
+    items = F.filter(F.transform(F.split(col(text), ","), lambda x: F.trim(x)), lambda x: F.instr(x, "=") > 0)
     pairs = F.transform(items, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, last(k))))
 
 
+def header_filters(text: Column | str) -> Column:
+    """filters (name, value) of a JSON array and the fault that it has: not JSON, or a filter without a name. Blank text has none."""
+    t = F.trim(F.coalesce(col(text), F.lit("")))
+    parsed = F.from_json(t, "array<struct<name:string,value:string>>")
+    found = F.when(t == "", F.array().cast("array<struct<name:string,value:string>>")).otherwise(parsed)
+    nameless = F.exists(found, lambda f: F.trim(F.coalesce(f["name"], F.lit(""))) == "")
+    return F.struct(found.alias("filters"), F.when(found.isNull(), "not JSON").when(nameless, "name is required").alias("fault"))
+
+
 def rate_mode(text: Column | str) -> Column:
-    t = F.lower(F.trim(F.coalesce(col(text), F.lit(""))))
-    return F.when(t.isin("", "original", "original-timing", "recorded"), "original").when(t.isin("constant", "constant-rate"), "constant").when(t.isin("unlimited", "max"), "unlimited")
+    """original, constant or unlimited by the names that are known, in any case; else null."""
+    t = F.lower(col(text))
+    return F.when(t.isin("original", "recorded"), "original").when(t == "constant", "constant").when(t.isin("unlimited", "max"), "unlimited")
 
 
 def relative_age(seconds: Column | str) -> Column:
     s = col(seconds).cast("long")
     ago = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit + " ago"))
-    return F.when(s < 60, ago(1, "s")).when(s < 3600, ago(60, "m")).when(s < 86400, ago(3600, "h")).otherwise(ago(86400, "d"))
+    return F.when(s < 60, ago(1, "s")).when(s < 3600, ago(60, "m")).otherwise(ago(3600, "h"))
 
 
 def status_class(code: Column | str) -> Column:
@@ -209,7 +209,7 @@ def error_category(text: Column | str) -> Column:
     t = F.lower(col(text))
     return (
         F.when(t.isNull() | (t == ""), "").when(t.contains("canceled"), "canceled").when(t.contains("deadline exceeded"), "deadline_exceeded")
-        .when(t.contains("timeout"), "timeout").when(t.contains("eof") | t.contains("closed"), "connection_closed").otherwise("unknown")
+        .when(t.contains("timeout"), "timeout").when((t == "eof") | t.endswith(": eof"), "connection_closed").otherwise("unknown")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import latency_text
+
 TERMINAL = ("COMPLETED", "FAILED")
 LIVE_SECONDS = 90
 
@@ -33,11 +35,11 @@ def load_test_rollup(status: DataFrame) -> DataFrame:
     )
 
 
-def phase(total_shards: Column | str = "total_shards") -> Column:
-    """Of a rollup: terminal only when every one of the test's shards is."""
+def phase(total_shards: Column | str = "total_shards", now: str = "Distributing") -> Column:
+    """Of a rollup: terminal only when every one of the test's shards is; as it is now while no shard has begun."""
     total = F.col(total_shards) if isinstance(total_shards, str) else total_shards
     done, failed = F.col("completed_shards"), F.col("failed_shards")
-    return F.when((total > 0) & (done >= total), "Completed").when((total > 0) & (done + failed >= total), "Failed").when((F.col("sent") > 0) | (F.col("running_shards") > 0) | (done + failed > 0), "Running").otherwise("Distributing")
+    return F.when((total > 0) & (done == total), "Completed").when((total > 0) & (done + failed == total), "Failed").when(F.col("running_shards") + done + failed > 0, "Running").otherwise(now)
 
 
 def by_cell(status: DataFrame, spokes: DataFrame) -> DataFrame:
@@ -98,7 +100,9 @@ def should_abort(policy: str = "policy") -> Column:
     rate = F.col("failed") * 100 / tried
     over = p("max_duration_s").isNotNull() & (F.col("elapsed_s") > p("max_duration_s"))
     bad = p("error_percent").isNotNull() & (tried >= F.coalesce(p("min_sample_requests"), F.lit(100))) & (tried > 0) & (rate > p("error_percent"))
-    return F.when(F.col("phase").isin("Distributing", "Running"), F.when(over, "max duration exceeded").when(bad, F.format_string("error rate %.1f%%", rate)))
+    time = F.concat(F.lit("run exceeded maxDuration "), latency_text(p("max_duration_s") * 1000), F.lit(" (elapsed "), latency_text(F.round("elapsed_s") * 1000), F.lit(")"))
+    share = F.format_string("error rate %.1f%% exceeded abort threshold %d%%", rate, p("error_percent"))
+    return F.when(F.col("phase").isin("Distributing", "Running"), F.when(over, time).when(bad, share))
 
 
 def spoke_captures(spokes: DataFrame, captures: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..schemas import REPORT
 
 PERCENTILES = (0.5, 0.95, 0.99)
+schemas_of_report = [c.split()[0] for c in REPORT.split(", ")]
 
 
 def label(p: float) -> str:
@@ -73,6 +75,24 @@ def run_report(summary: DataFrame, sent: str = "success") -> DataFrame:
     return summary.select("*", ms("duration_ns").alias("durationMs"), rate.alias("achievedRPS"), ms("mean_ns").alias("meanLatencyMs"), *[ms(label(p)).alias(f"{label(p)}LatencyMs") for p in PERCENTILES])
 
 
+def apply_report(reports: DataFrame) -> DataFrame:
+    """A report as a replay's status: all rows count to the total, a rate is text of one decimal if there is one, latencies are durations."""
+    text = lambda c: F.when(F.col(c) > 0, X.latency_text(c))
+    rest = [c for c in reports.columns if c not in schemas_of_report]
+    return reports.select(
+        *rest, (F.col("totalRequests") + F.col("filteredRequests")).alias("total"), F.col("sentRequests").alias("sent"), F.col("failedRequests").alias("failed"), F.col("filteredRequests").alias("filtered"),
+        F.when(F.col("achievedRPS") > 0, F.format_string("%.1f", "achievedRPS")).alias("rps"), text("p50LatencyMs").alias("p50"), text("p95LatencyMs").alias("p95"), text("p99LatencyMs").alias("p99"),
+    )
+
+
+def handled(results: DataFrame, keys: list[str], handler, schema: str) -> DataFrame:
+    """A user's own summary: handler gets the results of a group as a pandas frame and gives rows of schema.
+
+    A group is one task's; where groups may be large, the built-in aggregates above are the way.
+    """
+    return results.groupBy(*keys).applyInPandas(handler, schema)
+
+
 def method_mix(captured: DataFrame) -> DataFrame:
     """gRPC methods: calls and the first body in object and line order."""
     m = captured.withColumn("call", F.regexp_replace("path", "^/", ""))

@@ -35,7 +35,7 @@ def load_test_rollup(spark, sf_dir) -> DataFrame:
     return L.load_test_rollup(latest_status(spark, sf_dir))
 
 
-@query("select load_test_name, case when completed_shards >= 7 then 'Completed' when completed_shards + failed_shards >= 7 then 'Failed' when sent > 0 or running_shards > 0 or completed_shards + failed_shards > 0 then 'Running' else 'Distributing' end phase from rollup_", SHARDS, ROLLUP)
+@query("select load_test_name, case when completed_shards = 7 then 'Completed' when completed_shards + failed_shards = 7 then 'Failed' when running_shards + completed_shards + failed_shards > 0 then 'Running' else 'Distributing' end phase from rollup_", SHARDS, ROLLUP)
 def load_test_phases(spark, sf_dir) -> DataFrame:
     return L.load_test_rollup(latest_status(spark, sf_dir)).withColumn("total_shards", F.lit(7)).select("load_test_name", L.phase().alias("phase"))
 
@@ -100,7 +100,7 @@ def shard_assignments(spark, sf_dir) -> DataFrame:
 POLICIES = "p as (select 'lt-' || i load_test_name, case when i % 3 = 0 then 100 when i % 3 = 1 then 5000 end max_s, case when i % 4 < 3 then 5 + i % 4 end pct, case when i % 5 = 0 then 1000000 end least, i * 60 elapsed from range(50) r(i))"
 
 
-@query("select load_test_name, case when max_s is not null and elapsed > max_s then 'max duration exceeded' when pct is not null and sent + failed >= coalesce(least, 100) and failed * 100.0 / (sent + failed) > pct then printf('error rate %.1f%%', round(failed * 100.0 / (sent + failed), 1)) end reason from rollup_ join p using (load_test_name)", SHARDS, ROLLUP, POLICIES)
+@query("select load_test_name, case when max_s is not null and elapsed > max_s then printf('run exceeded maxDuration %s (elapsed %s)', (case when max_s < 60 then max_s || 's' when max_s < 3600 then (max_s // 60) || 'm' || (max_s % 60) || 's' else (max_s // 3600) || 'h' || (max_s // 60 % 60) || 'm' || (max_s % 60) || 's' end), (case when elapsed < 60 then elapsed || 's' when elapsed < 3600 then (elapsed // 60) || 'm' || (elapsed % 60) || 's' else (elapsed // 3600) || 'h' || (elapsed // 60 % 60) || 'm' || (elapsed % 60) || 's' end)) when pct is not null and sent + failed >= coalesce(least, 100) and failed * 100.0 / (sent + failed) > pct then printf('error rate %.1f%% exceeded abort threshold %d%%', round(failed * 100.0 / (sent + failed), 1), pct) end reason from rollup_ join p using (load_test_name)", SHARDS, ROLLUP, POLICIES)
 def abort_decisions(spark, sf_dir) -> DataFrame:
     i = F.regexp_extract("load_test_name", r"\d+", 0).cast("long")
     policy = F.struct(F.when(i % 3 == 0, 100).when(i % 3 == 1, 5000).alias("max_duration_s"), F.when(i % 4 < 3, 5 + i % 4).alias("error_percent"), F.when(i % 5 == 0, 1_000_000).alias("min_sample_requests"))

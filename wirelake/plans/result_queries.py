@@ -143,3 +143,30 @@ def script_exports(spark, sf_dir) -> DataFrame:
     failed = F.create_map(F.lit("passes"), d(F.count_if(F.col("event_type") == "error")))
     exports = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("run")).agg(F.create_map(F.lit("http_reqs"), requests, F.lit("http_req_duration"), times, F.lit("http_req_failed"), failed).alias("metrics"))
     return A.script_summary(exports)
+
+
+GO = "case when {0} = 0 then null when {0} < 1000 then {0} || 'ms' else regexp_replace(printf('%.3f', {0} / 1000.0), '\\.?0+$', '') || 's' end"
+
+
+@query(
+    f"select run_id, total + (total // 10) total, success sent, errors failed, total // 10 filtered, case when duration_ns > 0 then printf('%.1f', round(success / (duration_ns / 1e9) * 1000, 1)) end rps, {', '.join(GO.format(f'({p} // 1000000)') + ' ' + p for p in ('p50', 'p95', 'p99'))} from (select run_id, {TOTALS} from results group by run_id)",
+    RESULTS,
+)
+def reported_statuses(spark, sf_dir) -> DataFrame:
+    """Run reports as replay statuses."""
+    r = A.run_report(A.summarize(results(spark, sf_dir), ["run_id"]))
+    names = {"totalRequests": F.col("total"), "sentRequests": F.col("success"), "failedRequests": F.col("errors"), "filteredRequests": F.expr("total div 10")}
+    report = r.select("run_id", *[c.alias(n) for n, c in names.items()], "durationMs", (F.col("achievedRPS") * 1000).alias("achievedRPS"), "meanLatencyMs", "p50LatencyMs", "p95LatencyMs", "p99LatencyMs")
+    return A.apply_report(report)
+
+
+@query("select run_id, (max(duration_ns) - min(duration_ns))::bigint spread_ns, count(*) n from results group by 1", RESULTS)
+def handled_results(spark, sf_dir) -> DataFrame:
+    """A user's own summary of each run."""
+    import pandas as pd
+
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows["duration_ns"]
+        return pd.DataFrame({"run_id": [rows["run_id"].iloc[0]], "spread_ns": [d.max() - d.min()], "n": [len(rows)]})
+
+    return A.handled(results(spark, sf_dir).select("run_id", "duration_ns"), ["run_id"], spread, "run_id string, spread_ns long, n long")
