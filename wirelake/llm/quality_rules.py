@@ -12,14 +12,14 @@ MENU = "[|»›•·][^|»›•·]*[|»›•·]"
 BOILERPLATE = "(^|[^a-z])(all rights reserved|privacy policy|cookie policy|accept cookies|terms of (use|service)|click here|subscribe to our|sign up (now|for)|log in to|enable javascript|share (this|on)|powered by|back to top)"
 NOT_PUNCTUATION = r"[^!-/:-@\[-`{-~]+"
 SYMBOLS = "[#*$%&|<>]"
-#: Punctuation among a line's visible characters (percent), words of a document, percent of words in repeated
-#: windows, percent of the text that must stay.
-MOST_PUNCTUATION, LEAST_WORDS, MOST_REPEATED, LEAST_KEPT = 25, 50, 50, 50
+#: Characters from which a line may end anywhere if a sentence ends within it, punctuation among a line's visible
+#: characters (percent), words of a document, percent of words in repeated windows, percent of the text that must stay.
+LONG_LINE, MOST_PUNCTUATION, LEAST_WORDS, MOST_REPEATED, LEAST_KEPT = 200, 25, 50, 50, 50
 
 _words = f"filter(split(t, '{SPACE}+'), w -> w <> '')"
 _visible = f"filter(split(t, '\\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
 _line_ok = f"""(
-    l rlike '{ENDS.replace("'", chr(92) + "'")}{SPACE}*\\z'
+    (l rlike '{ENDS.replace("'", chr(92) + "'")}{SPACE}*\\z' or length(l) >= {LONG_LINE} and l rlike '[.!?…。]{SPACE}')
     and not l rlike '{MENU}'
     and not lower(l) rlike '{BOILERPLATE}'
     and 100 * length(regexp_replace(l, '{NOT_PUNCTUATION}', '')) <= {MOST_PUNCTUATION} * length(regexp_replace(l, '{SPACE}+', '')))"""
@@ -72,7 +72,7 @@ w as (select doc_id, t, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda
 win as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] s from (select doc_id, words, unnest(range(1, len(words) - 1)) i from w)),
 rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) c from win) where c > 1),
 cov as (select doc_id, count(distinct i + k) n from rep, (values (0), (1), (2)) v(k) group by doc_id),
-good as (select *, list_filter(lines, lambda l: regexp_matches(l, '{_Q}{SPACE}*\\z')
+good as (select *, list_filter(lines, lambda l: (regexp_matches(l, '{_Q}{SPACE}*\\z') or length(l) >= {LONG_LINE} and regexp_matches(l, '[.!?…。]{SPACE}'))
     and not regexp_matches(l, '{MENU}') and not regexp_matches(lower(l), '{BOILERPLATE}')
     and 100 * length(regexp_replace(l, '{NOT_PUNCTUATION}', '', 'g')) <= {MOST_PUNCTUATION} * length(regexp_replace(l, '{SPACE}+', '', 'g'))) good from w),
 n as (select *, coalesce(cov.n, 0) r, len(words) nw, coalesce(list_sum(list_transform(lines, lambda l: length(l))), 0) chars, coalesce(list_sum(list_transform(good, lambda l: length(l))), 0) kept_chars from good left join cov using (doc_id))
