@@ -155,3 +155,40 @@ def retention(objects: DataFrame, asof: Column, max_age_s: int | None = None, ma
         return objects.where(old)
     upto = F.sum("length").over(Window.partitionBy("storage").orderBy(F.desc("modified"), "key"))
     return objects.withColumn("upto", upto).where(old | (F.col("upto") > max_bytes)).drop("upto")
+
+
+def find(df: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows whose columns have the wanted values; an empty or missing value filters nothing."""
+    for column, value in wanted.items():
+        if value:
+            df = df.where(F.col(column) == value)
+    return df
+
+
+def with_cell(df: DataFrame, spokes: DataFrame, cell: str = "") -> DataFrame:
+    """Rows with their spoke's cell, of one cell if it is named. Spokes that aren't known have none."""
+    out = df.join(spokes.select("spoke_id", "cell"), "spoke_id", "left")
+    return out.where(F.col("cell") == cell) if cell else out
+
+
+def authoritative(df: DataFrame, keys: list[str], created: str = "created_at", name: str = "name") -> DataFrame:
+    """The oldest row of each key, the first name of equally old ones."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(created, name)).alias("r"))
+    return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def used_by(storages: DataFrame, captures: DataFrame) -> DataFrame:
+    """How many captures use each storage, by its name, and the spokes that they run on; none is an empty list."""
+    users = captures.groupBy("storage").agg(F.count("*").alias("captures"), F.array_sort(F.collect_set("spoke_id")).alias("spokes"))
+    return storages.join(users, "storage", "left").select("storage", F.coalesce("captures", F.lit(0)).alias("captures"), F.coalesce("spokes", F.array().cast("array<string>")).alias("spokes"))
+
+
+def progress(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Counters of runs so far, with the last request in order and the time that passed."""
+    ok = F.col("error").isNull()
+    micros = F.unix_micros("timestamp")
+    return results.groupBy(*keys).agg(
+        F.count_if(ok).alias("sent"), F.count_if(~ok).alias("errored"), F.coalesce(F.sum("response_bytes"), F.lit(0)).alias("bytes"), F.max_by("request_id", "seq").alias("last_request_id"),
+        ((F.max(micros) - F.min(micros)) * 1000).alias("elapsed_ns"),
+    )

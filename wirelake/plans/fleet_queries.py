@@ -85,9 +85,8 @@ def orphan_replays(spark, sf_dir) -> DataFrame:
 )
 def unreported_shards(spark, sf_dir) -> DataFrame:
     assigned = L.assign_shards(L.eligible(spokes(spark, sf_dir), ["ASIA", "EUROPE"]), 2)
-    tests = spark.range(50).select(F.concat(F.lit("lt-"), F.col("id").cast("string")).alias("load_test_name"))
-    plan = assigned.select("shard_indexes").withColumn("load_test_name", F.explode(F.array(*[F.concat(F.lit("lt-"), F.lit(str(i))) for i in range(50)])))
-    return L.unreported(plan.join(F.broadcast(tests), "load_test_name", "left_semi"), shard_status(spark, sf_dir)).select("load_test_name", F.col("shard_index").cast("long").alias("shard_index"))
+    plan = assigned.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("shard_indexes", F.concat(F.lit("lt-"), F.col("i").cast("string")).alias("load_test_name"))
+    return L.unreported(plan, shard_status(spark, sf_dir)).select("load_test_name", F.col("shard_index").cast("long").alias("shard_index"))
 
 
 @query(", c as (select spoke_id, cell, row_number() over (order by spoke_id) - 1 as position from (select * from spokes where cell <> '' order by spoke_id limit 40)) select spoke_id, cell, position, ((1000003 // 40) + (position < 1000003 % 40)::int)::bigint rate from c", SPOKES)
@@ -230,3 +229,50 @@ def pipeline_faults(spark, sf_dir) -> DataFrame:
         "plugin string, conflicts array<string>, before array<string>, after array<string>, resources array<struct<name:string,access:string>>",
     )
     return D.pipeline_faults(steps, rules)
+
+
+@query("select spoke_id, capture_id, phase from captures where phase = 'ACTIVE' and spoke_id = 'spoke-7'", CAPTURES)
+def captures_found(spark, sf_dir) -> DataFrame:
+    """Captures of a spoke and phase; filters without a value are none."""
+    return L.find(captures_state(spark, sf_dir), phase="ACTIVE", spoke_id="spoke-7", storage="", capture_id=None).select("spoke_id", "capture_id", "phase")
+
+
+@query("select capture_id, spoke_id, cell from captures left join spokes using (spoke_id) where cell = 'EUROPE'", CAPTURES, SPOKES)
+def captures_in_cell(spark, sf_dir) -> DataFrame:
+    return L.with_cell(captures_state(spark, sf_dir), spokes(spark, sf_dir), "EUROPE").select("capture_id", "spoke_id", "cell")
+
+
+@query("select c_mktsegment as storage, n captures, s spokes from (select distinct c_mktsegment from customer) left join (select storage, count(*) n, array_to_string(list_sort(list(distinct spoke_id)), ',') s from captures group by 1) u on c_mktsegment = u.storage", CAPTURES)
+def storage_users(spark, sf_dir) -> DataFrame:
+    storages = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("storage")).distinct()
+    return L.used_by(storages, captures_state(spark, sf_dir)).select("storage", "captures", F.array_join("spokes", ",").alias("spokes"))
+
+
+@query("select r.load_test_name, r.sent total_sent, l.shard_index, l.phase, l.sent_requests, l.failed_requests from rollup_ r join latest l using (load_test_name)", SHARDS, ROLLUP)
+def load_test_shards(spark, sf_dir) -> DataFrame:
+    """Load tests with each of their shards."""
+    status = latest_status(spark, sf_dir)
+    tests = L.load_test_rollup(status).select("load_test_name", F.col("sent").alias("total_sent"))
+    return tests.join(status, "load_test_name").select("load_test_name", "total_sent", "shard_index", "phase", "sent_requests", "failed_requests")
+
+
+@query("select l_orderkey, count(*) n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P') group by 1")
+def dangling_artifacts(spark, sf_dir) -> DataFrame:
+    """Artifacts whose capture is not in the catalog (here: not yet begun)."""
+    known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("select o_custkey, o_orderkey, o_orderdate::date::varchar as day from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1")
+def authoritative_picks(spark, sf_dir) -> DataFrame:
+    """The oldest of several claims on a thing."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return L.authoritative(o, ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("select kind, spoke_id, count(*) n from (select 'capture' as kind, spoke_id from captures union all select 'replay', spoke_id from latest) group by all", CAPTURES, SHARDS)
+def all_spokes_work(spark, sf_dir) -> DataFrame:
+    """Captures and replays of all spokes as one bag."""
+    c = captures_state(spark, sf_dir).select(F.lit("capture").alias("kind"), "spoke_id")
+    r = latest_status(spark, sf_dir).select(F.lit("replay").alias("kind"), "spoke_id")
+    return c.unionByName(r).groupBy("kind", "spoke_id").agg(F.count("*").alias("n"))

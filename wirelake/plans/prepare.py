@@ -132,3 +132,29 @@ def retained_bytes(df: DataFrame, keys: list[str], selected: F.Column, control:
     """Bytes kept if whole connections are kept, or only the selected exchanges and a control record of each."""
     whole, kept = F.sum(F.col("bytes") + control), F.sum(F.when(selected, F.col("bytes")).otherwise(0) + control)
     return df.groupBy(*keys).agg(whole.alias("whole_bytes"), kept.alias("selected_bytes"), F.round(100 - 100 * kept / whole, 4).alias("saved_percent"))
+
+
+def time_sorted(df: DataFrame, parts: int, column: str = "timestamp") -> DataFrame:
+    """Rows of all objects in one order of time: ranges of time, sorted within, each a task."""
+    return df.repartitionByRange(parts, column, "id").sortWithinPartitions(column, "id")
+
+
+def bucket_health(df: DataFrame, keys: list[str], width: int = 1_000_000) -> DataFrame:
+    """Share of errors and lag percentiles of each group of results with a lag_ns."""
+    sums = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.count_if(F.col("error").isNotNull()) * 100.0 / F.count("*")).alias("error_percent"))
+    lag = percentiles(df, keys, "lag_ns", width=width)
+    same = F.lit(True)
+    renamed = lag.select(*[F.col(k).alias(f"_{k}") for k in keys], "p50", "p95", "p99")
+    for k in keys:
+        same = same & sums[k].eqNullSafe(renamed[f"_{k}"])
+    return sums.join(renamed, same, "left").select(*keys, "n", "error_percent", "p50", "p95", "p99")
+
+
+def index_faults(df: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Bundles whose records don't add up to their index: counts, bytes, offsets, or the order-free check."""
+    keys = [*keys, "span", "bundle"]
+    now = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("bytes").alias("_bytes"), F.min("offset_ns").alias("_first"), F.max("offset_ns").alias("_last"), F.expr("bit_xor(xxhash64(id))").alias("_check"))
+    both = index.join(now, keys, "full")
+    pairs = (("count", "n", "_n"), ("bytes", "bytes", "_bytes"), ("first offset", "first_ns", "_first"), ("last offset", "last_ns", "_last"), ("check", "check", "_check"))
+    faults = F.filter(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), name) for name, a, b in pairs]), lambda x: x.isNotNull())
+    return both.select(*keys, F.explode(faults).alias("fault"))

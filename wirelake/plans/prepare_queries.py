@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import policy as D
-from ..sources.adapters import CAPTURED, captured, table
+from ..sources.adapters import CAPTURED, RESULTS, captured, results, table
 from . import prepare as N
 from .registry import query
 
@@ -141,3 +141,37 @@ def ordered_slice_digests(spark, sf_dir) -> DataFrame:
     """SHA-256 of every capture's lines in order, as manifests have it."""
     df = captured(spark, sf_dir).select("capture_id", "line", F.concat_ws(" ", "id", "path").alias("line_text"))
     return D.ordered_digest(df, "capture_id", ["line"])
+
+
+LAG = "lagging as (select method, status_code, error, duration_ns lag_ns from captured join results on id = request_id)"
+LOWER = "list_sort(list(lag_ns))[cast(floor((count(*) - 1) * {0}::double) as int) + 1]"
+
+
+@query(f"select method, status_code, count(*) n, count(error) * 100.0 / count(*) error_percent, {LOWER.format(0.5)} p50, {LOWER.format(0.95)} p95, {LOWER.format(0.99)} p99 from lagging group by all", CAPTURED, RESULTS, LAG)
+def bucket_health(spark, sf_dir) -> DataFrame:
+    """Errors and lag by method and status."""
+    r = results(spark, sf_dir).select(F.col("request_id").alias("id"), "status_code", "error", F.col("duration_ns").alias("lag_ns"))
+    return N.bucket_health(captured(spark, sf_dir).select("id", "method").join(r, "id"), ["method", "status_code"])
+
+
+@query(f", s as (select *, offset_ns // {24 * HOUR} span from normal), b as (select *, (sum(content_length) over (partition by capture_id, span order by offset_ns, id) - content_length)::bigint // 200 bundle from s) select capture_id, span, bundle, 'count' fault from b group by all having max((line % 500 = 0)::int) = 1", CAPTURED, NORMAL)
+def index_faults(spark, sf_dir) -> DataFrame:
+    """Bundles that lost records since they were indexed; here every five-hundredth is taken away."""
+    packed = N.bundles(normal(spark, sf_dir).join(captured(spark, sf_dir).select("id", "line"), "id"), 200, 24 * HOUR)
+    return N.index_faults(packed.where("line % 500 <> 0"), N.bundle_index(packed), ["capture_id"]).where("fault = 'count'")
+
+
+@query("select capture_id, count(*) n, min(offset_ns) first_ns, max(offset_ns) last_ns from normal group by 1", CAPTURED, NORMAL)
+def time_sorted_records(spark, sf_dir) -> DataFrame:
+    """Records in one order of time over all objects."""
+    df = N.time_sorted(normal(spark, sf_dir), 8)
+    return df.groupBy("capture_id").agg(F.count("*").alias("n"), F.min("offset_ns").alias("first_ns"), F.max("offset_ns").alias("last_ns"))
+
+
+@query(", f as (select capture_id, offset_ns // 3600000000000 bucket, count(error) * 100.0 / count(*) > 5 bad from normal join results on id = request_id group by 1, 2), i as (select *, bucket - row_number() over (partition by capture_id order by bucket) island from f where bad) select capture_id, min(bucket) first_bucket, count(*) n from i group by capture_id, island having count(*) >= 3", CAPTURED, NORMAL, RESULTS.replace("epoch_us(ts) + round(value * 1e6)::bigint // 1000 ts_us", "0 r_us"))
+def failing_bucket_runs(spark, sf_dir) -> DataFrame:
+    """Three hours in a row with over five percent of errors: a reason to stop."""
+    r = results(spark, sf_dir).select(F.col("request_id").alias("id"), "error")
+    df = normal(spark, sf_dir).select("id", "capture_id", F.floor(F.col("offset_ns") / HOUR).cast("long").alias("bucket")).join(r, "id")
+    rate = df.groupBy("capture_id", "bucket").agg((F.count("error") * 100.0 / F.count("*")).alias("percent"))
+    return N.bad_runs(rate, F.col("percent") > 5, 3, ["capture_id"])
