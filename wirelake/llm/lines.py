@@ -55,25 +55,32 @@ def places(keys: list[str], bits: int) -> np.ndarray:
         return np.stack([(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(HASHES)], axis=1).astype(np.int64)
 
 
+def among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of x are in sorted values."""
+    if not len(found):
+        return np.zeros(x.shape, bool)
+    return found[np.minimum(np.searchsorted(found, x), len(found) - 1)] == x
+
+
 def twice_seen(docs: DataFrame, bits: int) -> dict[int, bytes]:
     """The segments of the twice-seen filter."""
     segment = min(SEGMENT, bits)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        # A task's own filters are kept as sorted places, since it sets few of all bits.
+        once, twice = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch):
                 _, keys, counts = keys_of(texts(part.column("text")))
                 names, n = counted(keys, counts)
                 at = places(names, bits)
-                again = (n > 1) | once[at].all(axis=1)
-                twice[at[again].ravel()] = True
-                # Two keys of this slice that share a place both set it; that both are new is seen by the exact count alone.
-                once[at.ravel()] = True
-        for s in np.unique(np.flatnonzero(once) >> segment).tolist():
-            a, b = s << segment, (s + 1) << segment
-            packed = [np.flatnonzero(x[a:b]).astype(np.uint32).tobytes() for x in (once, twice)]
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": pa.array(packed[:1], pa.binary()), "twice": pa.array(packed[1:], pa.binary())})
+                again = (n > 1) | among(at, once).all(axis=1)
+                twice, once = np.union1d(twice, at[again]), np.union1d(once, at)
+        ends = np.arange(1, (1 << (bits - segment)) + 1) << segment
+        for s, (o, t) in enumerate(zip(np.split(once, np.searchsorted(once, ends)), np.split(twice, np.searchsorted(twice, ends)), strict=True)):
+            if len(o):
+                packed = [(x - (s << segment)).astype(np.uint32).tobytes() for x in (o, t)]
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": pa.array(packed[:1], pa.binary()), "twice": pa.array(packed[1:], pa.binary())})
 
     def merge(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(1 << segment, bool), np.zeros(1 << segment, bool)

@@ -24,7 +24,7 @@ from .common import joined, starts_of, texts, word_runs
 WINDOW = 13
 #: Text of a chunk and window hashes of a bucket, by what a small Python worker can hold. Rows that
 #: are exchanged number chunks x buckets, so larger executors should get larger values.
-CHUNK_BYTES, BUCKET_HASHES = 12 << 20, 1_500_000
+CHUNK_BYTES, BUCKET_HASHES = 8 << 20, 1_500_000
 #: Base of the polynomial, modulo 2**64; odd, so that no power of it vanishes.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
