@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import OP10_SQL
 from .lines import OP9_SQL
 from .quality_rules import OP2_SQL
+from .substring import OP6_SQL
 
 
 def _over_documents(module: str, function: str, *others: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,5 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
 }

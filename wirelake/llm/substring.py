@@ -178,3 +178,15 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CH
 
 def op6(docs: DataFrame) -> DataFrame:
     return repeated_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: The query's result for DuckDB; doc_ids are taken to be distinct.
+OP6_SQL = rf"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') words from documents),
+win as (select doc_id, i, array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ') s from (select doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) i from w)),
+least_ as (select s, min(doc_id) d from win group by s),
+gone as (select distinct doc_id, i + k pos from win join least_ using (s), range({WINDOW}) r(k) where doc_id > d),
+p as (select doc_id, unnest(words) word, unnest(range(1, len(words) + 1)) pos from w),
+kept as (select doc_id, string_agg(word, ' ' order by pos) t, count(*) n from p anti join gone using (doc_id, pos) group by 1)
+select doc_id, len(words)::bigint n_words, len(words)::bigint - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id)
+"""
