@@ -206,3 +206,24 @@ def test_pieces_are_cut_as_the_tokenizer_cuts():
     again, _ = encode(pa.array(texts[::-1], pa.string()))
     tokens.KEPT_PIECES = kept
     assert (again == ids).all()
+
+
+def test_quality_rules(case):
+    from wirelake.llm import quality_rules
+
+    rows = quality_rules.rate(case[0]).collect()
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows]
+    key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+    assert sorted(got, key=key) == sorted(((d, *brute.op2_base(t)) for d, t in case[1]), key=key)
+    for r in rows:
+        assert not (r.kept and r.base_failed) and r.n_good_lines <= r.n_lines and (r.n_good_lines > 0 or not r.kept)
+    plan = quality_rules.op2(case[0])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("line, good", [("A plain sentence of words.", True), ("Home | About | Contact", False), ("no end to this line", False), ("All rights reserved.", False), ("WORD!! WORD!! WORD!! AB!!", False), ("One sentence. " + "word " * 60, True)])
+def test_line_rules(spark, line, good):
+    from wirelake.llm import quality_rules
+
+    r = quality_rules.rate(spark.createDataFrame([(1, f"{line}\n \n{line}")], "doc_id long, text string")).first()
+    assert (r.n_lines, r.n_good_lines, r.clean_text) == (2, 2 * good, f"{line}\n{line}" * good)

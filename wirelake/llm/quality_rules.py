@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 ENDS = "[.!?…。！？\"'”’»)\\]:;]"
 MENU = "[|»›•·][^|»›•·]*[|»›•·]"
-BOILERPLATE = "(^|[^a-z])(all rights reserved|privacy policy|cookie policy|accept cookies|terms of (use|service)|click here|subscribe to our|sign up (now|for)|log in to|enable javascript|share (this|on)|powered by|back to top)"
+BOILERPLATE = "(?:^|[^a-z])(?:all rights reserved|privacy policy|cookie policy|accept cookies|terms of (?:use|service)|click here|subscribe to our|sign up (?:now|for)|log in to|enable javascript|share (?:this|on)|powered by|back to top)"
 NOT_PUNCTUATION = r"[^!-/:-@\[-`{-~]+"
-SYMBOLS = "[#*$%&|<>]"
+NO_SYMBOLS = "[^#*$%&|<>]+"
 #: Characters from which a line may end anywhere if a sentence ends within it, punctuation among a line's visible
 #: characters (percent), words of a document, percent of words in repeated windows, percent of the text that must stay.
 LONG_LINE, MOST_PUNCTUATION, LEAST_WORDS, MOST_REPEATED, LEAST_KEPT = 200, 25, 50, 50, 50
 
-_words = f"filter(split(t, '{SPACE}+'), w -> w <> '')"
+_words = f"case when btrim(t, ' \\t\\n\\u000b\\u000c\\r') = '' then array() else split(btrim(t, ' \\t\\n\\u000b\\u000c\\r'), '{SPACE}+') end"
 _visible = f"filter(split(t, '\\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
 _line_ok = f"""(
     (l rlike '{ENDS.replace("'", chr(92) + "'")}{SPACE}*\\z' or length(l) >= {LONG_LINE} and l rlike '[.!?…。]{SPACE}')
     and not l rlike '{MENU}'
     and not lower(l) rlike '{BOILERPLATE}'
     and 100 * length(regexp_replace(l, '{NOT_PUNCTUATION}', '')) <= {MOST_PUNCTUATION} * length(regexp_replace(l, '{SPACE}+', '')))"""
-# Windows by hash and place; those that a neighbour in the sorted order equals are found twice or more.
+# Hashes of windows, sorted; those that equal their neighbour are repeated ones. Where few are, each window is looked
+# up among them; where many are, windows are sorted with their places and compared with their neighbours.
+FEW = 24
 _hashes = "transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"
-_sorted_windows = "sort_array(transform(h, (x, i) -> struct(x as h, i as i)))"
-_repeated = """size(array_distinct(flatten(transform(
+_twice = "array_compact(array_distinct(element_at(transform(array(sort_array(h)), s -> zip_with(s, slice(s, 2, size(s)), (a, b) -> if(a = b, a, null))), 1)))"
+_few = "size(array_distinct(flatten(transform(h, (x, i) -> if(array_contains(d, x), array(i, i + 1, i + 2), array())))))"
+_many = """element_at(transform(array(sort_array(transform(h, (x, i) -> struct(x as h, i as i)))), s -> size(array_distinct(flatten(transform(
     filter(sequence(0, size(s) - 1), k -> coalesce(s[k].h = get(s, k + 1).h, false) or coalesce(s[k].h = get(s, k - 1).h, false)),
-    k -> array(s[k].i, s[k].i + 1, s[k].i + 2)))))"""
+    k -> array(s[k].i, s[k].i + 1, s[k].i + 2)))))), 1)"""
+_repeated = f"case when size(array_distinct(h)) = size(h) then 0 else element_at(transform(array({_twice}), d -> if(size(d) <= {FEW}, {_few}, {_many})), 1) end"
 
 
 def rate(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
@@ -40,7 +44,7 @@ def rate(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     df = df.select("doc_id", "t", F.expr(_words.replace("\\x", "\\\\x")).alias("words"), F.expr(_visible.replace("\\", "\\\\")).alias("lines"))
     df = df.select("*", F.expr(f"filter(lines, l -> {_line_ok})".replace("\\", "\\\\").replace("\\\\'", "\\'")).alias("good"), F.expr(f"case when size(words) >= 3 then {_hashes} else array() end").alias("h"))
-    df = df.withColumn("n_repeat", F.expr(f"case when size(array_distinct(h)) = size(h) then 0 else element_at(transform(array({_sorted_windows}), s -> {_repeated}), 1) end"))
+    df = df.withColumn("n_repeat", F.expr(_repeated))
     length = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     n_words, chars, kept_chars = F.size("words").cast("long"), length("lines"), length("good")
     failed = (n_words < LEAST_WORDS) | (100 * F.col("n_repeat") > MOST_REPEATED * n_words)
@@ -48,7 +52,7 @@ def rate(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
         "doc_id",
         n_words.alias("n_words"),
         F.length(F.regexp_replace("t", SPACE + "+", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("t", NO_SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat").cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"),
@@ -76,7 +80,7 @@ good as (select *, list_filter(lines, lambda l: (regexp_matches(l, '{_Q}{SPACE}*
     and not regexp_matches(l, '{MENU}') and not regexp_matches(lower(l), '{BOILERPLATE}')
     and 100 * length(regexp_replace(l, '{NOT_PUNCTUATION}', '', 'g')) <= {MOST_PUNCTUATION} * length(regexp_replace(l, '{SPACE}+', '', 'g'))) good from w),
 n as (select *, coalesce(cov.n, 0) r, len(words) nw, coalesce(list_sum(list_transform(lines, lambda l: length(l))), 0) chars, coalesce(list_sum(list_transform(good, lambda l: length(l))), 0) kept_chars from good left join cov using (doc_id))
-select doc_id, nw::bigint n_words, length(regexp_replace(t, '{SPACE}+', '', 'g'))::bigint word_chars, (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::bigint n_symbols,
+select doc_id, nw::bigint n_words, length(regexp_replace(t, '{SPACE}+', '', 'g'))::bigint word_chars, length(regexp_replace(t, '{NO_SYMBOLS}', '', 'g'))::bigint n_symbols,
     (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, r::bigint n_repeat_words, (nw < {LEAST_WORDS} or 100 * r > {MOST_REPEATED} * nw) base_failed,
     not (nw < {LEAST_WORDS} or 100 * r > {MOST_REPEATED} * nw) and chars > 0 and 100 * kept_chars >= {LEAST_KEPT} * chars kept, len(lines)::bigint n_lines, len(good)::bigint n_good_lines
 from n
