@@ -321,3 +321,28 @@ def test_stream_restarts_where_it_stopped(spark, requests, tmp_path):
         jobs.ingest(stream, out, at, None).awaitTermination()
     rows = spark.read.schema(schemas.REQUEST).json(out).collect()
     assert sorted(r.id for r in rows) == sorted(r.id for r in requests.collect()) and all(r.contentLength == 5 for r in rows)
+
+
+def test_counters_are_observed(spark, requests):
+    from pyspark.sql import Observation
+    from wirelake.streaming import jobs
+
+    seen = Observation("capture")
+    jobs.counted(requests, S.path_prefix("/api/1"), seen).count()
+    assert seen.get == {"total": 200, "filtered": 89, "bytes": 2800}
+
+
+def test_apply_report(spark):
+    rows = [(100, 90, 10, 7, 2000, 45.04, 12, 42, 1500, 60000), (0, 0, 0, 0, 0, 0.0, 0, 0, 0, 0)]
+    out = [tuple(r) for r in A.apply_report(spark.createDataFrame(rows, schemas.REPORT)).collect()]
+    assert out == [(107, 90, 10, 7, "45.0", "42ms", "1.5s", "1m0s"), (0, 0, 0, 0, None, None, None, None)]
+
+
+def test_plans_have_no_cartesian_product_and_push_filters(spark):
+    from wirelake.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("flagship_latency_by_method", "run_summary", "route_breakdown", "load_test_cells", "bucket_health", "request_gaps"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "BatchEvalPython" not in plan, name
+        assert "ReadSchema" in plan and "props" not in plan.split("ReadSchema")[1].split("\n")[0] or name in ("run_summary", "route_breakdown", "bucket_health", "flagship_latency_by_method"), name
