@@ -145,7 +145,7 @@ def test_mix(case):
     for r in rows:
         s = source[r.doc_id, r["size"]]
         assert r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"]
-        if r.doc_id is not None and r.doc_id != 40:
+        if len(rows) == 200 or (r.doc_id is not None and r.doc_id != 40):  # others share doc_id and size
             assert r.source_size == sizes[s] and r.target == pytest.approx(want[s])
             taken[s] += r.taken
     if len(rows) == 200:  # ten documents to a source
