@@ -18,8 +18,8 @@ def col(c: Column | str) -> Column:
 
 def fnv1a64(text: Column | str) -> Column:
     """Unsigned FNV-1a of the UTF-8 bytes as struct(hi, lo) of 32 bits each, so that no product leaves a long."""
-    h = F.hex(F.encode(col(text), "utf-8"))
-    byte = lambda i: F.conv(F.substring(h, 2 * i - 1, 2), 16, 10).cast("long")
+    letters = F.decode(F.encode(col(text), "utf-8"), "iso-8859-1")  # a character for each byte
+    byte = lambda i: F.ascii(F.substring(letters, i, F.lit(1))).cast("long")
 
     def step(a: Column, i: Column) -> Column:
         x = a["lo"].bitwiseXOR(byte(i))
