@@ -16,26 +16,31 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def fnv1a64(text: Column | str) -> Column:
-    """Unsigned FNV-1a of the UTF-8 bytes as struct(hi, lo) of 32 bits each, so that no product leaves a long."""
-    letters = F.decode(F.encode(col(text), "utf-8"), "iso-8859-1")  # a character for each byte
-    byte = lambda i: F.ascii(F.substring(letters, i, F.lit(1))).cast("long")
-
-    def step(a: Column, i: Column) -> Column:
-        x = a["lo"].bitwiseXOR(byte(i))
-        low = x * 435  # the prime is 2**40 + 435
-        high = a["hi"] * 435 + F.shiftright(low, 32) + F.shiftleft(x, 8)
-        return F.struct(high.bitwiseAND(MASK).alias("hi"), low.bitwiseAND(MASK).alias("lo"))
-
-    start = F.struct(F.lit(3421674724).cast("long").alias("hi"), F.lit(2216829733).cast("long").alias("lo"))
+def _fnv(text: Column | str, finish) -> Column:
+    """finish of the unsigned FNV-1a of the UTF-8 bytes as struct(hi, lo) of 32 bits each, so that no product leaves a long."""
     n = F.octet_length(col(text))
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step)
+    start = F.struct(F.lit(3421674724).cast("long").alias("hi"), F.lit(2216829733).cast("long").alias("lo"))
+
+    def of(letters: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            x = a["lo"].bitwiseXOR(F.ascii(F.substring(letters, i, F.lit(1))).cast("long"))
+            low = x * 435  # the prime is 2**40 + 435
+            high = a["hi"] * 435 + F.shiftright(low, 32) + F.shiftleft(x, 8)
+            return F.struct(high.bitwiseAND(MASK).alias("hi"), low.bitwiseAND(MASK).alias("lo"))
+
+        return F.aggregate(places, start, step, finish)
+
+    # A character for each byte, bound once for all steps.
+    return F.transform(F.array(F.decode(F.encode(col(text), "utf-8"), "iso-8859-1")), of)[0]
+
+
+def fnv1a64(text: Column | str) -> Column:
+    return _fnv(text, lambda h: h)
 
 
 def fnv1a64_mod(text: Column | str, n: int) -> Column:
-    h = fnv1a64(text)
-    return (((h["hi"] % n) * ((1 << 32) % n) + h["lo"] % n) % n).cast("int")
+    return _fnv(text, lambda h: (((h["hi"] % n) * ((1 << 32) % n) + h["lo"] % n) % n).cast("int"))
 
 
 def canonical_header(name: Column | str) -> Column:
