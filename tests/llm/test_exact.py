@@ -66,6 +66,27 @@ def test_decontaminated_text_has_no_window(case):
         assert brute.BWORD.findall(brute.lower(r.text)) and len(r.text) < max(len(t) for d, t in case[1] if d == r.doc_id) and r.n_chars == len(r.text)
 
 
+def test_decontaminated_text_is_the_same_in_blocks(case):
+    from wirelake.llm import decontaminate
+
+    key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+    rows = lambda size: sorted(map(tuple, decontaminate.find(case[0], case[2], block_bytes=size, clean=True).collect()), key=key)
+    assert rows(200) == rows(1 << 20)
+
+
+def test_windows_that_overlap_across_blocks_are_cut_out(spark):
+    from wirelake.llm import decontaminate
+
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(5, 40, 3)], "item_id long, text string")
+    joins = " ".join([*words[50:54], *words[5:17], *words[54:60]])  # no window of words 50 to 59 is here until words are cut out
+    bench = bench.unionByName(spark.createDataFrame([(99, " ".join(words[50:60]))], bench.schema))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, joins)], "doc_id long, text string")
+    for size in (20, 200, 1 << 20):
+        got = {r.doc_id: r.text.split() for r in decontaminate.find(docs, bench, block_bytes=size, clean=True).collect()}
+        assert got == {1: words[:5], 2: words[50:60]}, size
+
+
 def test_tokens(case):
     import public_tokenizers
     import tokenizers
