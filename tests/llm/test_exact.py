@@ -196,6 +196,28 @@ def test_budget_fitting():
     assert int(take @ lengths) == 1_234_567
 
 
+def test_budget_of_long_documents():
+    import numpy as np
+    from wirelake.llm import mixing
+
+    lengths, counts = 150_000 + 37 * np.arange(10), np.full(10, 3)
+    take = mixing.fit(900_000, lengths, counts)
+    assert (take <= counts).all() and abs(int(take @ lengths) - 900_000) <= 9_000
+    assert int(mixing.fit(200_000, np.array([300_000]), np.array([3])) @ [300_000]) == 300_000
+
+
+def test_lost_parts_are_spread_over_lengths():
+    import numpy as np
+    from wirelake.llm import mixing
+
+    lengths, counts = np.arange(1000, 4000), np.full(3000, 3)
+    take = mixing.fit(int(lengths.sum() * 3 // 5), lengths, counts)
+    assert int(take @ lengths) == int(lengths.sum() * 3 // 5)
+    for part in np.split(take, 6):
+        assert 0.5 <= (part > 0).mean() <= 0.7
+    assert (take > 1).mean() < 0.02
+
+
 def test_mix_of_one_length_in_buckets(spark, monkeypatch):
     from wirelake.llm import mixing
 
