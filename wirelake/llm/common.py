@@ -47,11 +47,6 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> int:
-    """Number of shuffle partitions in force."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_mod(column: Column | str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column) % n
 
