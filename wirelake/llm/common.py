@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
+#: Rows of numbers that are sent to all executors.
+SENT_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A kept table for a join: sent to all executors if it has few rows, else as it is."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def fresh_name(taken: list[str], name: str) -> str:
+    """A column name that isn't taken, whatever its case."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
