@@ -120,3 +120,72 @@ def test_random_strings_are_told_from_words(spark):
     keys = secrets.random_strings(200, seed=99)
     assert sum(bool(models.spans(f"x {k} y", [])) for k in keys) > 180
     assert not any(models.spans(w, []) for w in words)
+
+
+def plain_language_scores(rows, texts, each, n_grams, longest=4, smooth=0.5):
+    """Language and share of evidence of texts by the model of rows (text, lang), in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    def words_of(text):
+        runs = re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
+        return [x for w in runs for x in ([w] if w.isalpha() else re.findall(r"[^\W\d_]+", w)) if any(map(str.isalpha, x))]
+
+    langs = sorted({lang for _, lang in rows})
+    counts = {lang: Counter(w for t, x in rows if x == lang for w in words_of(t)) for lang in langs}
+    counts = {lang: dict(sorted(c.items(), key=lambda i: (-i[1], i[0]))[:each]) for lang, c in counts.items()}
+    tables = [counts]
+    for k in range(1, longest + 1):
+        grams = {lang: Counter() for lang in langs}
+        for lang in langs:
+            for w, n in counts[lang].items():
+                for i in range(len(w) + 3 - k):
+                    grams[lang][f"<{w}>"[i : i + k]] += n
+        total = sum(grams.values(), Counter())
+        top = set(sorted(total, key=lambda g: (-total[g], g))[:n_grams])
+        tables.append({lang: {g: n for g, n in grams[lang].items() if g in top} for lang in langs})
+    keys = [set().union(*t.values()) for t in tables]
+    log = lambda t, lang, x: math.log((tables[t][lang].get(x, 0) + smooth) / (sum(tables[t][lang].values()) + smooth * len(keys[t])))
+    out = []
+    for text in texts:
+        words, sums = words_of(text), dict.fromkeys(langs, 0.0)
+        for w in words:
+            if w in keys[0]:
+                for lang in langs:
+                    sums[lang] += log(0, lang, w)
+                continue
+            padded, i = f"<{w}>", 0
+            while i < len(padded):
+                k = next((k for k in range(min(longest, len(padded) - i), 0, -1) if padded[i : i + k] in keys[k]), 0)
+                for lang in langs if k else ():
+                    sums[lang] += log(k, lang, padded[i : i + k])
+                i += max(k, 1)
+        z = {lang: x / math.sqrt(max(len(words), 1)) for lang, x in sums.items()}
+        e = {lang: math.exp(x - max(z.values())) for lang, x in z.items()}
+        best = max(langs, key=lambda x: e[x])
+        out.append((best, e[best] / sum(e.values())) if words else ("und", 0.0))
+    return out
+
+
+def test_language_by_plain_python(spark, monkeypatch):
+    """Scores of seen and unseen words, against a plain version; 260 languages are all learned."""
+    import zlib
+
+    from wirelake.llm import language
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    learned = [(r.text, r.lang) for r in rows if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    monkeypatch.setattr(language, "GRAMS", 300)
+    monkeypatch.setattr(language, "WORDS", 100)
+    monkeypatch.setattr(language, "LEAST_WORDS", 40)
+    got = {r.doc_id: r for r in language.op4(docs).collect()}
+    want = plain_language_scores(learned, [r.text for r in rows], 40, 300)
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-3)
+        assert got[r.doc_id].lang_pred == lang or score < 0.6
+    many = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x letters", f"l{i % 260}") for i in range(1040)], "doc_id long, text string, lang string")
+    assert len(language.trained(many).languages) == 260
+    none = many.selectExpr("doc_id", "text", "cast(null as string) lang")
+    assert language.keep_known(none).count() == 1040 and {r.lang_pred for r in language.op4(none).collect()} == {"und"}
