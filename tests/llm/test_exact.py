@@ -270,3 +270,20 @@ def test_line_rules(spark, line, good):
 
     r = quality_rules.rate(spark.createDataFrame([(1, f"{line}\n \n{line}")], "doc_id long, text string")).first()
     assert (r.n_lines, r.n_good_lines, r.clean_text) == (2, 2 * good, f"{line}\n{line}" * good)
+
+
+def test_mixed_keeps_columns_of_any_names_and_splits_repeated_rows(spark):
+    from wirelake.llm import mixing
+
+    rows = [(1, "a b c", "x", 1, i % 2) for i in range(50)] + [(i, " ".join(["w"] * (i % 5 + 1)), "y", 2, 0) for i in range(60)] + [(None, None, None, None, 0), (1, "a b c", "y", 3, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __at int, __copy int").withColumn("group_key", F.lit(1)).withColumn("copies", F.lit("c"))
+    plan = mixing.mix(docs)
+    assert plan.count() == len(rows)
+    by = lambda df, n: {tuple(r)[:2]: r[2] for r in df.collect()}
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    taken = {k: n for k, n in by(plan.groupBy("doc_id", "size").agg(F.sum("copies")), 2).items() if n}
+    assert {k: n for k, n in by(mixed.groupBy("doc_id", F.size(F.split("text", " ")).alias("size")).count(), 2).items() if k[0] is not None} == {k: n for k, n in taken.items() if k[0] is not None}
+    assert max(r["count"] for r in mixed.groupBy(*docs.columns).count().collect() if r.doc_id != 1) <= 3
+    sums = {r.source_size: (r.t, r.target) for r in plan.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(t - target) <= 2 for t, target in sums.values())
