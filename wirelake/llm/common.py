@@ -7,6 +7,7 @@ are ignored, whatever their names; an empty table gives an empty result with the
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: glibc's malloc_trim, where there is one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
 #: Rows of numbers that are sent to all executors.
@@ -74,7 +77,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_BYTE
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+        if TRIM:
+            TRIM(0)  # what the slice needed goes back to the machine, which other workers share
 
 
 def texts(column: pa.Array) -> pa.Array:
