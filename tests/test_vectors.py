@@ -311,6 +311,45 @@ def test_lake(spark, requests, tmp_path):
         lake.write_shards(requests, root, "x", 1)
 
 
+def test_days_outside_a_range_are_not_opened(spark, requests, tmp_path):
+    """Objects of other days aren't gzip at all here, so that opening one fails; a missing manifest is no row."""
+    from wirelake.sources import lake
+
+    root = str(tmp_path)
+    lake.write_capture(requests, root, "ns/cap", 60)
+    for day in ("day=2026-01-13", "2026-01-14", "day=2026-01-18"):
+        (tmp_path / "ns/cap" / day).mkdir(parents=True)
+        (tmp_path / "ns/cap" / day / "agent-000001.json.gz").write_bytes(b"no gzip")
+    got = lake.read_capture(spark, root, "ns/cap", BASE, BASE + dt.timedelta(seconds=9))
+    assert got.count() == 10 and {str(r.capture_date) for r in got.collect()} == {"2026-01-15"}
+    found = lake.inventory(spark, root).select("of.*").collect()
+    assert {(r.capture_id, str(r.day)) for r in found} >= {("ns/cap", "2026-01-13"), ("ns/cap", "2026-01-14"), ("ns/cap", "2026-01-15")}
+    assert lake.find_manifests(spark, f"{root}/nowhere/manifest.json").count() == 0
+    said = spark.createDataFrame([(1, "ns/cap", 0)], "formatVersion int, captureID string, recordCount long")
+    assert lake.is_empty(got, said) and not lake.is_empty(got, said.limit(0))
+
+
+def test_row_chain_keeps_longs_maps_and_failed_rows(spark):
+    df = spark.createDataFrame([(2**60 + 1, {"a": ["x"]}), (None, None)], "n long, h map<string,array<string>>")
+
+    def spoil(row):
+        row["n"] = 5
+        row["h"]["a"].append("y")
+        raise ValueError
+
+    out = T.row_chain(df, [spoil], "skip").collect()
+    assert [(r.n, r.h, r.filtered) for r in out] == [(2**60 + 1, {"a": ["x"]}, False), (None, None, False)]
+
+
+def test_handled_results_meet_as_partial_rows(spark):
+    import pandas as pd
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id").repartition(5)
+    part = lambda r: pd.DataFrame({"k": [r["k"].iloc[0]], "s": [r["id"].sum()]})
+    got = A.handled(df, ["k"], part, "k long, s long", part_sum := lambda r: pd.DataFrame({"k": [r["k"].iloc[0]], "total": [r["s"].sum()]}), "k long, total long")
+    assert part_sum and {r.k: r.total for r in got.collect()} == {k: sum(range(k, 1000, 3)) for k in range(3)}
+
+
 def test_stream_restarts_where_it_stopped(spark, requests, tmp_path):
     from wirelake.streaming import jobs
 

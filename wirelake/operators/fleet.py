@@ -48,6 +48,18 @@ def by_cell(status: DataFrame, spokes: DataFrame) -> DataFrame:
     return known.groupBy("load_test_name", "cell").agg(F.countDistinct("spoke_id").alias("spokes"), F.sum("sent_requests").alias("sent"), F.sum("failed_requests").alias("failed"))
 
 
+def assigned_cells(status: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Spokes, shards, sent and failed of each load test's cells, which are those of its assignments (load_test_name, spoke_id, cell, position, shard_indexes).
+
+    position counts the cells in the order in which assignments name them first. Statuses of spokes that aren't assigned are in no cell.
+    """
+    of = assignments.groupBy("load_test_name", "cell").agg(F.count("*").alias("spokes"), F.sum(F.size("shard_indexes")).alias("shards"), F.min("position").alias("first"))
+    sums = status.join(assignments.select("load_test_name", "spoke_id", "cell"), ["load_test_name", "spoke_id"]).groupBy("load_test_name", "cell").agg(F.sum("sent_requests").alias("sent"), F.sum("failed_requests").alias("failed"))
+    place = F.row_number().over(Window.partitionBy("load_test_name").orderBy("first")) - 1
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return of.join(sums, ["load_test_name", "cell"], "left").select("load_test_name", "cell", "spokes", "shards", zero("sent"), zero("failed"), place.cast("long").alias("position"))
+
+
 def cells(spokes: DataFrame, live: DataFrame, captures: DataFrame, status: DataFrame) -> DataFrame:
     """Each cell's spokes, connected ones, captures and replays that go on, by cell."""
     held = captures.groupBy("spoke_id").agg(F.count("*").alias("captures"))

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = 1
 
 
 def manifest_faults(manifests: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("capture_id", "shard_index")) -> DataFrame:
-    """Versions that aren't known, counts below zero or unlike the data's."""
+    """Versions that aren't known, counts below zero or unlike the data's; digests unlike the data's where both have sha256."""
     keys = list(keys)
-    both = manifests.join(counts.withColumnRenamed("n", "_n"), keys, "left")
+    both = manifests.join(counts.withColumnsRenamed({"n": "_n", "sha256": "_sha256"}), keys, "left")
+    digest = F.col("sha256") != F.col("_sha256") if "sha256" in manifests.columns and "sha256" in counts.columns else F.lit(False)
     v, n = F.col("format_version"), F.col("record_count")
     faults = F.filter(
-        F.array(F.when(v > VERSION, "unsupported version"), F.when(v <= 0, "bad version"), F.when(n < 0, "negative count"), F.when(n != F.coalesce("_n", F.lit(0)), "record count differs")),
+        F.array(F.when(v > VERSION, "unsupported version"), F.when(v <= 0, "bad version"), F.when(n < 0, "negative count"), F.when(n != F.coalesce("_n", F.lit(0)), "record count differs"), F.when(digest, "sha256 differs")),
         lambda x: x.isNotNull(),
     )
     return both.select(*keys, F.explode(faults).alias("fault"))
@@ -42,23 +44,30 @@ def digests(df: DataFrame, keys: list[str], line: str = "line_text") -> DataFram
     return df.groupBy(*keys).agg(F.expr(f"bit_xor(xxhash64({line}))").alias("check"), F.count("*").alias("n"))
 
 
-def ordered_digest(df: DataFrame, key: str, order: list[str], line: str = "line_text") -> DataFrame:
-    """SHA-256 of a slice's lines in write order, as its manifest has it: one task for each slice, which bounds its size."""
+def running_digest(df: DataFrame, key: str, line: str = "line_text") -> DataFrame:
+    """SHA-256 and number of the lines of each key, where a key's rows follow each other within a task; nothing is held but the digest."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h = hashlib.sha256()
-        for x in rows.sort_values(order)[line]:
-            h.update(x.encode() + b"\n")
-        return pd.DataFrame({key: rows[key].iloc[:1], "sha256": [h.hexdigest()], "n": [len(rows)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, h, n = None, None, 0
+        found = lambda: pa.RecordBatch.from_pydict({key: pa.array([at], kind), "sha256": [h.hexdigest()], "n": pa.array([n], pa.int64())})
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            for k, x in zip(batch.column(key).to_pylist(), batch.column(line).to_pylist(), strict=True):
+                if h is None or k != at:
+                    if h is not None:
+                        yield found()
+                    at, h, n = k, hashlib.sha256(), 0
+                h.update((x or "").encode() + b"\n")
+                n += 1
+        if h is not None:
+            yield found()
 
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, sha256 string, n long")
+    return df.select(key, line).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, sha256 string, n long")
 
 
-def consecutive(df: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Islands of consecutive values."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    return df.withColumn("_i", F.col(at) - F.row_number().over(w)).groupBy(*keys, "_i").agg(F.min(at).alias("first"), F.count("*").alias("n")).drop("_i")
+def ordered_digest(df: DataFrame, key: str, order: list[str], line: str = "line_text") -> DataFrame:
+    """SHA-256 of a slice's lines in write order, as its manifest has it. A chain of lines is one task's, but Spark sorts and spills it and the task streams it."""
+    return running_digest(df.repartition(key).sortWithinPartitions(key, *order), key, line)
 
 
 def pipeline_faults(steps: DataFrame, rules: DataFrame) -> DataFrame:
@@ -67,7 +76,6 @@ def pipeline_faults(steps: DataFrame, rules: DataFrame) -> DataFrame:
     unknown plugins; conflicts, which hold both ways and are told once; plugins that stand after one they must
     go before, or before one they must follow; resources that one plugin wants for itself.
     """
-    rules = F.broadcast(rules)
     known = steps.join(rules, "plugin", "left")
     unknown = known.where("conflicts is null").select("pipeline", F.lit("unknown").alias("kind"), F.col("plugin").alias("detail"))
     one = known.where("conflicts is not null").select("pipeline", *[F.col(c).alias(f"a_{c}") for c in ("position", "plugin", "conflicts", "before", "after", "resources")])

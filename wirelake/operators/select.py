@@ -24,9 +24,9 @@ def in_time(start: dt.datetime | None, end: dt.datetime | None, column: str = "t
     return out
 
 
-def by_day(start: dt.datetime | None, end: dt.datetime | None, column: str = "capture_date") -> Column:
+def by_day(start: dt.datetime | None, end: dt.datetime | None, column: Column | str = "capture_date") -> Column:
     """Whole days that may hold rows of the range; rows without a day stay. Prunes partitions."""
-    c, out = F.col(column), F.lit(True)
+    c, out = F.col(column) if isinstance(column, str) else column, F.lit(True)
     if start:
         out = out & (c.isNull() | (c >= F.lit(start.date())))
     if end:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +89,32 @@ def apply_report(reports: DataFrame) -> DataFrame:
     )
 
 
-def handled(results: DataFrame, keys: list[str], handler, schema: str) -> DataFrame:
-    """A user's own summary: handler gets the results of a group as a pandas frame and gives rows of schema.
+def engine_summary(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals over all results, rate of the successes over the time they all took, latencies of successes alone, in cut milliseconds."""
+    ok = F.col("error").isNull()
+    seconds = (X.micros(F.max("timestamp")) - X.micros(F.min("timestamp"))) / 1e6
+    ms = lambda c: F.coalesce(F.expr(f"{c} div 1000000"), F.lit(0)).cast("long")
+    totals = results.groupBy(*keys).agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("sent"), F.count_if(~ok).alias("failed"), F.when(seconds > 0, F.count_if(ok) / seconds).otherwise(0.0).alias("achieved_rps"),
+        F.expr("sum(duration_ns) filter (where error is null) div count(duration_ns) filter (where error is null)").alias("mean_ns"),
+    )
+    at = percentiles(results.where(ok), keys, "duration_ns").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda x, k: x & totals[k].eqNullSafe(at[f"_{k}"]), keys, F.lit(True))
+    return totals.join(at, same, "left").select(*keys, "total", "sent", "failed", "achieved_rps", ms("mean_ns").alias("mean_ms"), *[ms(label(p)).alias(f"{label(p)}_ms") for p in PERCENTILES])
+
+
+def handled(results: DataFrame, keys: list[str], partial, middle: str, merge, schema: str) -> DataFrame:
+    """A user's own summary: partial turns a group's rows of one batch (a pandas frame) into rows of `middle`, merge a group's partial rows into rows of schema.
 
-    A group is one task's; where groups may be large, the built-in aggregates above are the way.
+    So a group of any size is reduced where its rows are, and only partial rows, a few a batch, meet.
     """
-    return results.groupBy(*keys).applyInPandas(handler, schema)
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, rows in batch.groupby(keys, dropna=False):
+                yield partial(rows)
+
+    return results.mapInPandas(reduced, middle).groupBy(*keys).applyInPandas(merge, schema)
 
 
 def method_mix(captured: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +108,15 @@ def row_chain(df: DataFrame, steps: list[Callable[[dict], dict | None]], on_erro
     if on_error not in ("drop", "skip", "abort"):
         raise ValueError(on_error)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
+            out, schema = [], batch.schema.append(pa.field("filtered", pa.bool_()))
+            maps = [f.name for f in batch.schema if pa.types.is_map(f.type)]
+            for row in batch.to_pylist(maps_as_pydicts="strict"):
                 now = row
                 for step in steps:
                     try:
-                        now = step(now)
+                        now = step(copy.deepcopy(now))  # a step that fails halfway leaves no trace
                     except Exception:
                         if on_error == "abort":
                             raise
@@ -122,6 +124,8 @@ def row_chain(df: DataFrame, steps: list[Callable[[dict], dict | None]], on_erro
                     if now is None:
                         break
                 out.append({**(row if now is None else now), "filtered": now is None})
-            yield pd.DataFrame(out, columns=[*batch.columns, "filtered"])
+            for row in out if maps else ():
+                row.update({m: list(row[m].items()) for m in maps if row.get(m) is not None})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", filtered boolean")
+    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", filtered boolean")

@@ -22,7 +22,7 @@ def latest_status(spark, sf_dir) -> DataFrame:
 
 def asof(df: DataFrame, column: str = "ts"):
     """The latest time of a table, for queries that need a now."""
-    return F.lit(df.agg(F.max(column)).first()[0]).cast("timestamp")
+    return df.agg(F.max(column).cast("timestamp")).scalar()
 
 
 @query("select load_test_name, shard_index, phase, sent_requests, reported_us from latest", SHARDS)
@@ -62,9 +62,18 @@ def spoke_liveness(spark, sf_dir) -> DataFrame:
     return L.liveness(h, asof(h), 7200).select("spoke_id", X.micros("last_heartbeat").alias("last_us"), "active_captures", "connected")
 
 
-@query("select sum((phase not in ('COMPLETED', 'FAILED'))::int)::bigint active_replays, count(*) replays, sum(sent_requests)::bigint sent from latest", SHARDS)
+@query(
+    """, now as (select max(ts_us) n from heartbeats), live as (select count(*) c from (select spoke_id from heartbeats cross join now group by spoke_id having max(n) - max(ts_us) <= 7200000000))
+    select sum((phase not in ('COMPLETED', 'FAILED'))::int)::bigint active_replays, count(*) replays, sum(sent_requests)::bigint sent, (select c from live) connected_spokes, (select count(*) from captures) captures from latest""",
+    SHARDS, HEARTBEATS, CAPTURES,
+)
 def fleet_totals(spark, sf_dir) -> DataFrame:
-    return latest_status(spark, sf_dir).agg(F.count_if(~F.col("phase").isin(*L.TERMINAL)).alias("active_replays"), F.count("*").alias("replays"), F.sum("sent_requests").alias("sent"))
+    """Connected spokes, captures held and replays that go on, over the whole fleet."""
+    h = heartbeats(spark, sf_dir)
+    connected = L.liveness(h, asof(h), 7200).agg(F.count_if("connected")).scalar()
+    held = captures_state(spark, sf_dir).agg(F.count("*")).scalar()
+    out = latest_status(spark, sf_dir).agg(F.count_if(~F.col("phase").isin(*L.TERMINAL)).alias("active_replays"), F.count("*").alias("replays"), F.sum("sent_requests").alias("sent"))
+    return out.select("*", connected.alias("connected_spokes"), held.alias("captures"))
 
 
 @query("select l_orderkey replay, 'lt-' || l_orderkey % 50 load_test_name from lineitem where l_linenumber = 1 and l_orderkey % 11 <> 0 and epoch_us((select max(l_shipdate) from lineitem)) - epoch_us(l_shipdate) >= 120000000 and l_orderkey % 50 not in (select o_orderkey % 50 from orders where o_orderstatus = 'P' and o_orderkey % 50 < 40)")
@@ -99,12 +108,20 @@ def shard_assignments(spark, sf_dir) -> DataFrame:
 POLICIES = "p as (select 'lt-' || i load_test_name, case when i % 3 = 0 then 100 when i % 3 = 1 then 5000 end max_s, case when i % 4 < 3 then 5 + i % 4 end pct, case when i % 5 = 0 then 1000000 end least, i * 60 elapsed from range(50) r(i))"
 
 
-@query("select load_test_name, case when max_s is not null and elapsed > max_s then printf('run exceeded maxDuration %s (elapsed %s)', (case when max_s < 60 then max_s || 's' when max_s < 3600 then (max_s // 60) || 'm' || (max_s % 60) || 's' else (max_s // 3600) || 'h' || (max_s // 60 % 60) || 'm' || (max_s % 60) || 's' end), (case when elapsed < 60 then elapsed || 's' when elapsed < 3600 then (elapsed // 60) || 'm' || (elapsed % 60) || 's' else (elapsed // 3600) || 'h' || (elapsed // 60 % 60) || 'm' || (elapsed % 60) || 's' end)) when pct is not null and sent + failed >= coalesce(least, 100) and failed * 100.0 / (sent + failed) > pct then printf('error rate %.1f%% exceeded abort threshold %d%%', round(failed * 100.0 / (sent + failed), 1), pct) end reason from rollup_ join p using (load_test_name)", SHARDS, ROLLUP, POLICIES)
-def abort_decisions(spark, sf_dir) -> DataFrame:
+ABORTS = "select load_test_name, case when max_s is not null and elapsed > max_s then printf('run exceeded maxDuration %s (elapsed %s)', (case when max_s < 60 then max_s || 's' when max_s < 3600 then (max_s // 60) || 'm' || (max_s % 60) || 's' else (max_s // 3600) || 'h' || (max_s // 60 % 60) || 'm' || (max_s % 60) || 's' end), (case when elapsed < 60 then elapsed || 's' when elapsed < 3600 then (elapsed // 60) || 'm' || (elapsed % 60) || 's' else (elapsed // 3600) || 'h' || (elapsed // 60 % 60) || 'm' || (elapsed % 60) || 's' end)) when pct is not null and sent + failed >= coalesce(least, 100) and failed * 100.0 / (sent + failed) > pct then printf('error rate %.1f%% exceeded abort threshold %d%%', round(failed * 100.0 / (sent + failed), 1), pct) end reason from rollup_ join p using (load_test_name)"
+
+
+def policies(tests: DataFrame) -> DataFrame:
+    """Made-up policies of load tests (load_test_name): time limits, error rates, least samples, and how long each has run."""
     i = F.regexp_extract("load_test_name", r"\d+", 0).cast("long")
     policy = F.struct(F.when(i % 3 == 0, 100).when(i % 3 == 1, 5000).alias("max_duration_s"), F.when(i % 4 < 3, 5 + i % 4).alias("error_percent"), F.when(i % 5 == 0, 1_000_000).alias("min_sample_requests"))
-    df = L.load_test_rollup(latest_status(spark, sf_dir)).select("load_test_name", "sent", "failed", F.lit("Running").alias("phase"), (i * 60).alias("elapsed_s"), policy.alias("policy"))
-    return df.select("load_test_name", L.should_abort().alias("reason"))
+    return tests.select("load_test_name", F.lit("Running").alias("phase"), (i * 60).alias("elapsed_s"), policy.alias("policy"))
+
+
+@query(ABORTS, SHARDS, ROLLUP, POLICIES)
+def abort_decisions(spark, sf_dir) -> DataFrame:
+    df = L.load_test_rollup(latest_status(spark, sf_dir)).select("load_test_name", "sent", "failed")
+    return df.join(policies(df), "load_test_name").select("load_test_name", L.should_abort().alias("reason"))
 
 
 @query("select spoke_id, count(capture_id) n, count(*) filter (where phase = 'ACTIVE') active, coalesce(sum(captured_requests), 0)::bigint requests from spokes left join captures using (spoke_id) group by spoke_id", SPOKES, CAPTURES)
@@ -117,9 +134,40 @@ def capture_phases(spark, sf_dir) -> DataFrame:
     return L.phase_counts(captures_state(spark, sf_dir), ["PENDING", "ACTIVE", "COMPLETED", "FAILED"], ["storage"])
 
 
-@query("select count(*) captures, count(*) filter (where phase = 'ACTIVE') active, sum(captured_requests)::bigint requests, count(distinct storage) storages, count(distinct spoke_id) spokes from captures", CAPTURES)
+@query(
+    """, now as (select max(ts_us) n from heartbeats), beats as (select spoke_id, max(n) - max(ts_us) <= 7200000000 healthy from heartbeats cross join now group by spoke_id),
+    stores as (select storage, sum(bytes_written) < 100000000 ready from captures group by storage)
+    select count(*) captures, count(*) filter (where phase = 'PENDING') pending, count(*) filter (where phase = 'ACTIVE') active, count(*) filter (where phase = 'COMPLETED') completed, count(*) filter (where phase = 'FAILED') failed,
+    sum(captured_requests)::bigint requests, (select count(*) from beats) spokes, (select count(*) from beats where healthy) healthy_spokes, (select count(*) from stores) storages, (select count(*) from stores where ready) ready_storages from captures""",
+    CAPTURES, HEARTBEATS,
+)
 def dashboard(spark, sf_dir) -> DataFrame:
-    return captures_state(spark, sf_dir).agg(F.count("*").alias("captures"), F.count_if(F.col("phase") == "ACTIVE").alias("active"), F.sum("captured_requests").alias("requests"), F.countDistinct("storage").alias("storages"), F.countDistinct("spoke_id").alias("spokes"))
+    """Captures by phase (all four are there), requests, healthy of all spokes, ready of all storages (here: under 100 MB)."""
+    c, h = captures_state(spark, sf_dir), heartbeats(spark, sf_dir)
+    beats = L.liveness(h, asof(h), 7200)
+    stores = c.groupBy("storage").agg((F.sum("bytes_written") < 100_000_000).alias("ready"))
+    one = lambda df, what: df.agg(what).scalar()
+    out = c.agg(F.count("*").alias("captures"), *[F.count_if(F.col("phase") == p).alias(p.lower()) for p in ("PENDING", "ACTIVE", "COMPLETED", "FAILED")], F.sum("captured_requests").alias("requests"))
+    return out.select("*", one(beats, F.count("*")).alias("spokes"), one(beats, F.count_if("connected")).alias("healthy_spokes"), one(stores, F.count("*")).alias("storages"), one(stores, F.count_if("ready")).alias("ready_storages"))
+
+
+@query("select 'capture' as kind, phase, count(*) n from captures group by 2 union all select 'replay', phase, count(*) from latest group by 2", CAPTURES, SHARDS)
+def entity_phases(spark, sf_dir) -> DataFrame:
+    """Captures and replays by phase."""
+    kind = lambda df, name: df.groupBy(F.lit(name).alias("kind"), "phase").agg(F.count("*").alias("n"))
+    return kind(captures_state(spark, sf_dir), "capture").unionByName(kind(latest_status(spark, sf_dir), "replay"))
+
+
+@query(
+    """, a as (select spoke_id, cell, row_number() over (order by spoke_id) - 1 p from spokes), cells_ as (select cell, count(*) spokes, count(*) * 2 shards, min(p) first from a group by 1),
+    t as (select load_test_name, cell, sum(sent_requests)::bigint sent, sum(failed_requests)::bigint failed from latest join a using (spoke_id) group by all), l as (select 'lt-' || t load_test_name from range(50) r(t))
+    select load_test_name, cell, spokes, shards, coalesce(sent, 0) sent, coalesce(failed, 0) failed, (row_number() over (partition by load_test_name order by first) - 1) as position from l cross join cells_ left join t using (load_test_name, cell)""",
+    SHARDS, SPOKES,
+)
+def load_test_cells_assigned(spark, sf_dir) -> DataFrame:
+    """Cells of every load test by its assignments (all spokes, two shards each), in the order in which they come first."""
+    assigned = L.assign_shards(spokes(spark, sf_dir), 2).select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).withColumn("load_test_name", F.concat(F.lit("lt-"), F.col("i").cast("string")))
+    return L.assigned_cells(latest_status(spark, sf_dir), assigned)
 
 
 @query("select capture_id, count(*) spokes, sum(captured_requests)::bigint requests from captures where spoke_id in (select spoke_id from spokes where cell = 'ASIA') group by capture_id", CAPTURES, SPOKES)

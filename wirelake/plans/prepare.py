@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -139,6 +139,20 @@ def time_sorted(df: DataFrame, parts: int, column: str = "timestamp") -> DataFra
     return df.repartitionByRange(parts, column, "id").sortWithinPartitions(column, "id")
 
 
+def write_time_sorted(df: DataFrame, path: str, parts: int, column: str = "timestamp") -> None:
+    """Rows in one order of time as Parquet, a file for each range, with part and its rows' places in it."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    time_sorted(df, parts, column).select("*", F.spark_partition_id().alias("part"), within.alias("within")).write.parquet(path)
+
+
+def read_time_sorted(spark: SparkSession, path: str) -> DataFrame:
+    """The written rows with their place in the whole order; the parts before are counted, a row for each."""
+    df = spark.read.parquet(path)
+    counts = df.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return df.join(before, df.part == before["_part"]).select(*[c for c in df.columns if c not in ("part", "within")], (F.col("_before") + F.col("within")).alias("place"))
+
+
 def bucket_health(df: DataFrame, keys: list[str], width: int = 1_000_000) -> DataFrame:
     """Share of errors and lag percentiles of each group of results with a lag_ns."""
     sums = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.count_if(F.col("error").isNotNull()) * 100.0 / F.count("*")).alias("error_percent"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import policy as D
 from ..sources.adapters import CAPTURED, RESULTS, captured, results, table
+from ..sources.shared import fresh_path
 from . import prepare as N
 from .registry import query
 
@@ -129,11 +130,14 @@ def retained_bytes(spark, sf_dir) -> DataFrame:
     return N.retained_bytes(df, ["path"], F.col("method") == "DELETE")
 
 
-@query()
+@query("select capture_id, count(*) n, true as same, false as same_without_one from captured group by 1", CAPTURED)
 def slice_digests(spark, sf_dir) -> DataFrame:
-    """Order-free digests of every capture's lines."""
+    """Order-free digests of every capture's lines: the same in another order and dealing, others where a line is missing."""
     df = captured(spark, sf_dir).select("capture_id", F.concat_ws("\t", "id", "method", "path").alias("line_text"))
-    return D.digests(df, ["capture_id"])
+    sums = lambda rows, name: D.digests(rows, ["capture_id"]).select("capture_id", F.struct("check", "n").alias(name))
+    first = df.groupBy("capture_id").agg(F.min("line_text").alias("line_text"))
+    found = sums(df, "a").join(sums(df.repartition(7, "line_text"), "b"), "capture_id").join(sums(df.join(first, ["capture_id", "line_text"], "left_anti"), "c"), "capture_id", "left")
+    return found.select("capture_id", F.col("a.n").alias("n"), (F.col("a") == F.col("b")).alias("same"), F.coalesce(F.col("a.check") == F.col("c.check"), F.lit(False)).alias("same_without_one"))
 
 
 @query("select capture_id, sha256(string_agg(id || ' ' || path, chr(10) order by line) || chr(10)) sha256, count(*) n from captured group by 1", CAPTURED)
@@ -161,11 +165,12 @@ def index_faults(spark, sf_dir) -> DataFrame:
     return N.index_faults(packed.where("line % 500 <> 0"), N.bundle_index(packed), ["capture_id"]).where("fault = 'count'")
 
 
-@query("select capture_id, count(*) n, min(offset_ns) first_ns, max(offset_ns) last_ns from normal group by 1", CAPTURED, NORMAL)
+@query("select id, row_number() over (order by ts_us, id) - 1 as place from captured", CAPTURED)
 def time_sorted_records(spark, sf_dir) -> DataFrame:
-    """Records in one order of time over all objects."""
-    df = N.time_sorted(normal(spark, sf_dir), 8)
-    return df.groupBy("capture_id").agg(F.count("*").alias("n"), F.min("offset_ns").alias("first_ns"), F.max("offset_ns").alias("last_ns"))
+    """Records in one order of time over all objects, written so, each with its place."""
+    root = fresh_path(spark, "sorted")
+    N.write_time_sorted(captured(spark, sf_dir).select("id", "timestamp"), root, 8)
+    return N.read_time_sorted(spark, root).select("id", "place")
 
 
 @query(", f as (select capture_id, offset_ns // 3600000000000 bucket, count(error) * 100.0 / count(*) > 5 bad from normal join results on id = request_id group by 1, 2), i as (select *, bucket - row_number() over (partition by capture_id order by bucket) island from f where bad) select capture_id, min(bucket) first_bucket, count(*) n from i group by capture_id, island having count(*) >= 3", CAPTURED, NORMAL, RESULTS.replace("epoch_us(ts) + round(value * 1e6)::bigint // 1000 ts_us", "0 r_us"))

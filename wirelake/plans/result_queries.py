@@ -37,10 +37,17 @@ def whole_summary(spark, sf_dir) -> DataFrame:
     return A.summarize(results(spark, sf_dir))
 
 
-@query(f"select run_id, {TOTALS} from results where error is null group by run_id", RESULTS)
+GOOD = "list_sort(list(duration_ns) filter (where error is null))[cast(floor((count(*) filter (where error is null) - 1) * {0}::double) as int) + 1] // 1000000"
+
+
+@query(
+    f"""select run_id, count(*) total, count(*) filter (where error is null) sent, count(error) failed, case when max(ts_us) > min(ts_us) then (count(*) filter (where error is null)) / ((max(ts_us) - min(ts_us)) / 1e6) else 0 end achieved_rps,
+    ((sum(duration_ns) filter (where error is null)) // (count(*) filter (where error is null)) // 1000000)::bigint mean_ms, {", ".join(f"{GOOD.format(p)} {A.label(p)}_ms" for p in A.PERCENTILES)} from results group by run_id""",
+    RESULTS,
+)
 def engine_summary(spark, sf_dir) -> DataFrame:
-    """Latencies of successes alone, all of them."""
-    return A.summarize(results(spark, sf_dir).where("error is null"), ["run_id"])
+    """All results count, latencies are those of successes alone, without a bound on samples."""
+    return A.engine_summary(results(spark, sf_dir), ["run_id"])
 
 
 @query("select run_id, status_code, count(*) n from results where status_code > 0 group by all", RESULTS)
@@ -165,11 +172,14 @@ def handled_results(spark, sf_dir) -> DataFrame:
     """A user's own summary of each run."""
     import pandas as pd
 
-    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
         d = rows["duration_ns"]
-        return pd.DataFrame({"run_id": [rows["run_id"].iloc[0]], "spread_ns": [d.max() - d.min()], "n": [len(rows)]})
+        return pd.DataFrame({"run_id": [rows["run_id"].iloc[0]], "least": [d.min()], "most": [d.max()], "n": [len(rows)]})
+
+    def whole(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": [parts["run_id"].iloc[0]], "spread_ns": [parts["most"].max() - parts["least"].min()], "n": [parts["n"].sum()]})
 
-    return A.handled(results(spark, sf_dir).select("run_id", "duration_ns"), ["run_id"], spread, "run_id string, spread_ns long, n long")
+    return A.handled(results(spark, sf_dir).select("run_id", "duration_ns"), ["run_id"], part, "run_id string, least long, most long, n long", whole, "run_id string, spread_ns long, n long")
 
 
 @query("select run_id, count(*) filter (where error is null) sent, count(error) errored, sum(response_bytes)::bigint bytes, arg_max(request_id, seq) last_request_id, (max(ts_us) - min(ts_us)) * 1000 elapsed_ns from results group by 1", RESULTS)

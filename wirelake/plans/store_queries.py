@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import policy as D
 from ..operators import select as S
 from ..sources import lake
-from ..sources.adapters import CAPTURED, HEARTBEATS, captured, heartbeats, table
+from ..sources.adapters import CAPTURED, HEARTBEATS, SHARDS, captured, heartbeats, shard_status, table
 from ..sources.shared import fresh_path
 from ..streaming import jobs
+from .fleet_queries import ABORTS, NEWEST, POLICIES, ROLLUP, policies
 from .registry import query
 from .request_queries import FNV
 
@@ -26,6 +28,36 @@ def lake_round_trip(spark, sf_dir) -> DataFrame:
     return df.select("id", X.micros("timestamp").alias("ts_us"), "method", "path", F.decode("body", "utf-8").alias("body"), F.col("contentLength").alias("content_length"), "protocol", F.col("metadata")["host"].alias("host"), F.col("metadata")["query"].alias("query"), F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
 
 
+@query("select distinct 'ns/all' as capture_id, capture_date::varchar as day, 1 as has_objects from captured", CAPTURED)
+def inventory(spark, sf_dir) -> DataFrame:
+    """The days that a written capture has objects of, by their keys."""
+    root = fresh_path(spark, "lake")
+    lake.write_capture(captured(spark, sf_dir), root, "ns/all")
+    return lake.inventory(spark, root).groupBy("of.capture_id", F.col("of.day").cast("string").alias("day")).agg(F.max((F.col("length") > 0).cast("int")).alias("has_objects"))
+
+
+@query("select 'ns/all' as capture_id, capture_date::varchar as day, count(*) n, true as compressed from captured group by 2", CAPTURED)
+def capture_byte_report(spark, sf_dir) -> DataFrame:
+    """Lines of each day as stored, and if the objects are smaller than their lines."""
+    root = fresh_path(spark, "lake")
+    lake.write_capture(captured(spark, sf_dir), root, "ns/all")
+    return lake.capture_bytes(spark, root).select("capture_id", F.col("day").cast("string").alias("day"), "n", (F.col("compressed_bytes") < F.col("bytes")).alias("compressed"))
+
+
+@query(f"select s shard, 'sha256 differs' as fault from (select distinct {FNV.format('id', 4)} s from captured)", CAPTURED)
+def manifest_sha256(spark, sf_dir) -> DataFrame:
+    """Slices whose stored lines aren't those of their manifests: here a body of each slice's first id is changed after the first write."""
+    root = fresh_path(spark, "lake")
+    df = captured(spark, sf_dir).drop("object_key", "line", "capture_date")
+    said = lake.manifests_of(lake.write_shards(df, root, "ns/orders", 4), "ns/orders", 4)
+    said.write.json(f"{root}/manifests")
+    first = S.with_shard(df.select("id"), 4).groupBy("shard").agg(F.min("id").alias("first"))
+    changed = df.join(first, df.id == first["first"], "left").withColumn("body", F.when(F.col("first").isNotNull(), F.encode(F.lit("changed"), "utf-8")).otherwise(F.col("body"))).drop("shard", "first")
+    now = lake.write_shards(changed, root, "ns/orders", 4).select(F.col("shard").alias("shard_index"), "n", "sha256")
+    manifests = lake.spark_manifests(spark, f"{root}/manifests").select(F.col("shardIndex").alias("shard_index"), F.col("formatVersion").alias("format_version"), F.col("recordCount").alias("record_count"), "sha256")
+    return D.manifest_faults(manifests, now, ("shard_index",)).select(F.col("shard_index").alias("shard"), "fault")
+
+
 @query("select 'good' as kind, count(*) n from captured where event_id % 37 <> 0 union all select 'rejected', count(*) from captured where event_id % 37 = 0", CAPTURED)
 def rejected_lines(spark, sf_dir) -> DataFrame:
     """Malformed lines among good ones: the good ones are read, the others reported with their objects."""
@@ -61,7 +93,7 @@ def shard_manifests(spark, sf_dir) -> DataFrame:
     """Manifests of slices, written after the data and read again."""
     root = fresh_path(spark, "lake")
     counts = lake.write_shards(captured(spark, sf_dir).drop("object_key", "line", "capture_date"), root, "ns/orders", 4)
-    lake.manifests_of(counts, "ns/orders", 4).drop("check").write.json(f"{root}/manifests")
+    lake.manifests_of(counts, "ns/orders", 4).write.json(f"{root}/manifests")
     return lake.spark_manifests(spark, f"{root}/manifests").select("captureID", "recordCount", "shardIndex", "shardCount")
 
 
@@ -114,7 +146,7 @@ def streamed_dedup(spark, sf_dir) -> DataFrame:
 @query(
     """, b as (select spoke_id, ts_us // 1000 t, lag(ts_us // 1000) over (partition by spoke_id order by ts_us) p from heartbeats)
     select spoke_id, p + 21600000 at_ms, 'DISCONNECTED' state from b where t - p > 21600000 union all select spoke_id, t, 'CONNECTED' from b where p is null or t - p > 21600000
-    union all select spoke_id, max(t) + 21600000, 'DISCONNECTED' from b group by 1 having max(t) + 21600000 < (select max(t) from b)""",
+    union all select spoke_id, max(t) + 21600000, 'DISCONNECTED' from b group by 1 having max(t) + 21600000 < (select max(t) - 600000 from b)""",
     HEARTBEATS,
 )
 def streamed_liveness(spark, sf_dir) -> DataFrame:
@@ -123,18 +155,18 @@ def streamed_liveness(spark, sf_dir) -> DataFrame:
     h = heartbeats(spark, sf_dir).select("spoke_id", "ts")
     stream = spark.readStream.schema(h.schema).parquet(_landed(spark, h, root))
     jobs.liveness(stream, 21600).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("spoke_id string, at_ms long, state string").parquet(f"{root}/out").distinct()
+    return spark.read.schema("spoke_id string, at_ms long, state string").parquet(f"{root}/out")
 
 
-@query("select 'lt-' || l_orderkey % 50 load_test_name, sum(l_quantity::bigint)::bigint sent, sum(case when l_returnflag = 'R' then l_quantity::bigint // 5 else 0 end)::bigint failed from lineitem group by 1")
+@query(f"select load_test_name, sent, failed, reason abort_reason from rollup_ join ({ABORTS}) using (load_test_name)", SHARDS, ROLLUP, POLICIES)
 def streamed_run_monitor(spark, sf_dir) -> DataFrame:
-    from ..sources.adapters import shard_status
-
+    """Totals of load tests and reasons to stop them, kept up by a stream of cumulative reports."""
     root = fresh_path(spark, "stream")
     s = shard_status(spark, sf_dir)
     stream = spark.readStream.schema(s.schema).parquet(_landed(spark, s, root))
-    jobs.run_monitor(stream).writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("load_test_name", "sent", "failed")
+    tests = spark.range(50).select(F.concat(F.lit("lt-"), F.col("id").cast("string")).alias("load_test_name"))
+    jobs.run_monitor(stream, policies(tests), NEWEST, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("load_test_name", "sent", "failed", "abort_reason")
 
 
 @query("select id from captured join (select capture_id, min(ts_us) s from captured group by 1) using (capture_id) where ts_us < s + 36 * 3600000000", CAPTURED)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import exprs as X
 from ..operators import policy as D
 from ..operators import select as S
 
@@ -21,12 +22,19 @@ def _objects(spark: SparkSession, path: str):
     return reader.schema(schemas.REQUEST + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").option("mode", "PERMISSIVE").json(path)
 
 
-def read_lines(spark: SparkSession, root: str, capture_id: str) -> DataFrame:
+def _day(path: Column | str) -> Column:
+    """The first part of an object's key that is a date, as `2026-01-15` or `day=2026-01-15`."""
+    return F.try_to_date(F.regexp_extract(path, r"/(?:day=)?(\d{4}-\d{2}-\d{2})/", 1), "yyyy-MM-dd")
+
+
+def read_lines(spark: SparkSession, root: str, capture_id: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
     """Rows of a capture with the object they come from and their line in it; malformed lines have `_corrupt_record`.
 
-    Gzip objects aren't split, so rows of one keep their order.
+    Gzip objects aren't split, so rows of one keep their order. Objects of days outside the range aren't opened: their
+    paths are all that the filter needs, so Spark applies it to the listing.
     """
-    df = _objects(spark, f"{root.rstrip('/')}/{capture_id}").select("*", F.col("_metadata.file_path").alias("object_key"), F.monotonically_increasing_id().alias("_n"))
+    df = _objects(spark, f"{root.rstrip('/')}/{capture_id}").where(S.by_day(start, end, _day(F.col("_metadata.file_path"))))
+    df = df.select("*", F.col("_metadata.file_path").alias("object_key"), F.monotonically_increasing_id().alias("_n"))
     line = F.col("_n") - F.min("_n").over(Window.partitionBy("object_key"))
     return df.withColumn("line", line).drop("_n")
 
@@ -34,11 +42,11 @@ def read_lines(spark: SparkSession, root: str, capture_id: str) -> DataFrame:
 def read_capture(spark: SparkSession, root: str, capture_id: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
     """A capture's good rows. A time range leaves out whole days by their folders, then rows; both ends belong to it.
 
-    The object's date is the first part of its key that is one; an object without one is read.
+    An object without a date in its key is read. Object and line are in the result only of read_lines, which orders for them.
     """
-    df = read_lines(spark, root, capture_id).where("_corrupt_record is null and id is not null").drop("_corrupt_record")
-    day = F.try_to_date(F.regexp_extract("object_key", r"/(\d{4}-\d{2}-\d{2})/", 1), "yyyy-MM-dd")
-    return df.withColumn("capture_date", day).where(S.by_day(start, end) & S.in_time(start, end))
+    df = _objects(spark, f"{root.rstrip('/')}/{capture_id}").where(S.by_day(start, end, _day(F.col("_metadata.file_path"))))
+    df = df.select("*", F.col("_metadata.file_path").alias("object_key")).where("_corrupt_record is null and id is not null").drop("_corrupt_record")
+    return df.withColumn("capture_date", _day("object_key")).where(S.in_time(start, end))
 
 
 def rejects(spark: SparkSession, root: str, capture_id: str) -> DataFrame:
@@ -51,17 +59,27 @@ def read_slice(spark: SparkSession, root: str, capture_id: str, index: int, coun
     return spark.read.schema(schemas.REQUEST).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").json(f"{root.rstrip('/')}/{capture_id}/shards/slice={index}-of-{count}")
 
 
+#: capture, day, writer and number in the key of an object, as agents name it or as Spark's writer does.
+OBJECT_KEY = r"^(?:(.*?)/)?(?:day=)?(\d{4}-\d{2}-\d{2})/([^/]+?)-(\d{5,})(?:[-.][^/]*)?\.jsonl?\.gz$"
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """Objects under a root with size, time and what their keys say; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl.gz").load(root).select("path", "length", "modificationTime")
-    key = F.regexp_replace("path", f"^.*?{_quoted(root.rstrip('/').split('/')[-1])}/", "")
-    return files.select("path", key.alias("key"), "length", F.col("modificationTime").alias("modified"), X.parse_object_key(key).alias("of"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").load(root).select("path", "length", "modificationTime")
+    key = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('/')[-1])}/", "")
+    part = lambda i: F.nullif(F.regexp_extract(key, OBJECT_KEY, i), F.lit(""))
+    of = F.struct(part(1).alias("capture_id"), F.try_to_date(part(2), "yyyy-MM-dd").alias("day"), part(3).alias("pod"), part(4).cast("long").alias("seq"))
+    return files.select("path", key.alias("key"), "length", F.col("modificationTime").alias("modified"), of.alias("of"))
 
 
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
+def capture_bytes(spark: SparkSession, root: str) -> DataFrame:
+    """Objects, compressed and uncompressed bytes and lines of each capture and day under a root."""
+    of = inventory(spark, root).groupBy("of.capture_id", "of.day").agg(F.count("*").alias("objects"), F.sum("length").alias("compressed_bytes"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").text(root).select(F.col("_metadata.file_path").alias("path"), (F.octet_length("value") + 1).alias("bytes"))
+    each = lines.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
+    key = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('/')[-1])}/", "")
+    sums = each.groupBy(F.nullif(F.regexp_extract(key, OBJECT_KEY, 1), F.lit("")).alias("_c"), F.try_to_date(F.regexp_extract(key, OBJECT_KEY, 2), "yyyy-MM-dd").alias("_d")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("n"))
+    return of.join(sums, of.capture_id.eqNullSafe(F.col("_c")) & of.day.eqNullSafe(F.col("_d"))).drop("_c", "_d")
 
 
 def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: int = 100_000) -> None:
@@ -71,23 +89,51 @@ def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: in
     out.write.mode("overwrite").partitionBy("day").option("timestampFormat", MICROS).option("compression", "gzip").option("maxRecordsPerFile", rows_per_object).json(f"{root.rstrip('/')}/{capture_id}")
 
 
-def write_shards(df: DataFrame, root: str, capture_id: str, count: int) -> DataFrame:
-    """Every row in one of `count` slices; gives rows and digest of each, zero where there are none.
+def write_shards(df: DataFrame, root: str, capture_id: str, count: int, tasks_per_slice: int = 4, rows_per_object: int = 100_000) -> DataFrame:
+    """Every row in one of `count` slices; gives rows and digest of each from the stored lines, zero where there are none.
 
-    One shuffle deals the rows; manifests are to be written from the result, after the data.
+    One shuffle deals the rows to several tasks a slice; manifests are to be written from the result, after the data.
     """
     if count < 2:
         raise ValueError("a split has two shards or more")
-    sharded = S.with_shard(df, count)
     base = f"{root.rstrip('/')}/{capture_id}/shards"
-    named = sharded.withColumn("slice", F.concat_ws("-of-", F.col("shard").cast("string"), F.lit(str(count)))).repartition(count, "shard")
-    named.drop("shard").write.mode("overwrite").partitionBy("slice").option("timestampFormat", MICROS).option("compression", "gzip").json(base)
-    sums = D.digests(sharded.withColumn("line_text", F.to_json(F.struct("id", "method", "path"))), ["shard"])
-    return S.shard_counts(sharded, count).join(sums.drop("n"), "shard", "left")
+    named = S.with_shard(df, count).withColumn("slice", F.concat_ws("-of-", F.col("shard").cast("string"), F.lit(str(count))))
+    named = named.repartition(count * tasks_per_slice, "shard", F.pmod(F.xxhash64("id"), F.lit(tasks_per_slice)))
+    named.drop("shard").write.mode("overwrite").partitionBy("slice").option("timestampFormat", MICROS).option("compression", "gzip").option("maxRecordsPerFile", rows_per_object).json(base)
+    return slice_digests(df.sparkSession, root, capture_id, count)
+
+
+def slice_digests(spark: SparkSession, root: str, capture_id: str, count: int) -> DataFrame:
+    """shard, n and sha256 of each of `count` slices as they are stored.
+
+    An object's digest is that of its uncompressed lines in write order; a slice's is that of its objects' digests in order of their names.
+    """
+    objects = object_digests(spark, f"{root.rstrip('/')}/{capture_id}/shards")
+    shard = F.regexp_extract("object_key", r"/slice=(\d+)-of-\d+/", 1).cast("int")
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("object_key", "sha256"))), lambda x: x["sha256"]), "")
+    found = objects.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n"), F.sha2(each.cast("binary"), 256).alias("sha256"))
+    all_ = spark.range(count).select(F.col("id").cast("int").alias("shard"))
+    return all_.join(found, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
+
+
+def object_digests(spark: SparkSession, path: str) -> DataFrame:
+    """object_key, n and sha256 of the lines of each gzip object. An object is read by one task, line after line; none is held."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").text(path).select(F.col("_metadata.file_path").alias("object_key"), "value")
+    return D.running_digest(lines, "object_key", "value")
 
 
 def manifests_of(counts: DataFrame, capture_id: str, count: int) -> DataFrame:
-    return counts.select(F.lit(D.VERSION).alias("formatVersion"), F.concat(F.lit(f"{capture_id}/shards/"), F.col("shard").cast("string"), F.lit(f"-of-{count}")).alias("captureID"), F.col("n").alias("recordCount"), F.col("shard").alias("shardIndex"), F.lit(count).alias("shardCount"), F.lit(capture_id).alias("sourceCaptureID"), F.lower(F.hex("check")).alias("check"))
+    return counts.select(F.lit(D.VERSION).alias("formatVersion"), F.concat(F.lit(f"{capture_id}/shards/"), F.col("shard").cast("string"), F.lit(f"-of-{count}")).alias("captureID"), F.col("n").alias("recordCount"), "sha256", F.col("shard").alias("shardIndex"), F.lit(count).alias("shardCount"), F.lit(capture_id).alias("sourceCaptureID"))
+
+
+def find_manifests(spark: SparkSession, pattern: str) -> DataFrame:
+    """Manifests under a pattern, no row where there is none."""
+    try:
+        return read_manifests(spark, pattern)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.MANIFEST)
 
 
 def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
@@ -123,6 +169,7 @@ def heartbeat_tables(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return captures, replays
 
 
-def is_empty(df: DataFrame) -> bool:
-    """If a capture has nothing to replay; looks at one row."""
-    return df.isEmpty()
+def is_empty(df: DataFrame, manifests: DataFrame | None = None) -> bool:
+    """If a capture has nothing to replay: by its manifest's count where there is one, else by a look at one row."""
+    said = manifests.select("recordCount").where("recordCount is not null").first() if manifests is not None else None
+    return said[0] == 0 if said else df.isEmpty()

@@ -5,7 +5,7 @@ Late data is this engine's own definition: ten minutes behind the newest event t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +59,19 @@ def rates(df: DataFrame, series: list[str], time: str = "ts", width: str = "5 mi
     return out.select(*series, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", (F.col("n") / seconds).alias("per_second"))
 
 
-def run_monitor(df: DataFrame) -> DataFrame:
-    """Running totals of load tests, for abort decisions in each update."""
-    return df.groupBy("load_test_name").agg(F.sum("sent_requests").alias("sent"), F.sum("failed_requests").alias("failed"), F.max("reported_at").alias("reported_at"))
+def run_monitor(reports: DataFrame, policies: DataFrame, order: tuple[str, ...], out: str, checkpoint: str) -> StreamingQuery:
+    """Totals of load tests from the newest report of each shard, with the reason to stop where a policy has one.
+
+    Reports are cumulative, so the stream keeps each shard's newest; every batch writes all totals anew, and gives the same if it comes again.
+    policies: load_test_name, phase, elapsed_s and policy (see should_abort).
+    """
+
+    def write(newest_: DataFrame, batch: int) -> None:
+        totals = L.load_test_rollup(newest_).join(policies, "load_test_name", "left")
+        totals.withColumn("abort_reason", L.should_abort()).drop("policy").write.mode("overwrite").parquet(out)
+
+    kept = newest(reports, ["load_test_namespace", "load_test_name", "shard_index"], *order)
+    return kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
 
 
 def liveness(heartbeats: DataFrame, seconds: int = L.LIVE_SECONDS) -> DataFrame:
@@ -90,22 +100,10 @@ def liveness(heartbeats: DataFrame, seconds: int = L.LIVE_SECONDS) -> DataFrame:
             state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["spoke_id", "at_ms", "state"])
 
-    return heartbeats.withWatermark("ts", "0 seconds").groupBy("spoke_id").applyInPandasWithState(step, "spoke_id string, at_ms long, state string", "last long, live boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return heartbeats.withWatermark("ts", LATE).groupBy("spoke_id").applyInPandasWithState(step, "spoke_id string, at_ms long, state string", "last long, live boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def auto_stopped(df: DataFrame, captures: DataFrame) -> DataFrame:
     """Requests of captures that are not over by the requests' own time; captures (capture_id, started_at, duration) are a table."""
-    joined = df.join(F.broadcast(captures), "capture_id")
+    joined = df.join(captures, "capture_id")
     return joined.where(S.still_active(F.col("timestamp"))).drop("started_at", "duration")
-
-
-def upserting(write: Callable[[DataFrame, int], None], df: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Calls write with each batch once; write has to give the same result if a batch comes again."""
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
-
-
-def run_once(df: DataFrame, spark: SparkSession, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives its rows; for tests and small states."""
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
