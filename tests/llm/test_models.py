@@ -189,3 +189,41 @@ def test_language_by_plain_python(spark, monkeypatch):
     assert len(language.trained(many).languages) == 260
     none = many.selectExpr("doc_id", "text", "cast(null as string) lang")
     assert language.keep_known(none).count() == 1040 and {r.lang_pred for r in language.op4(none).collect()} == {"und"}
+
+
+def test_secrets_of_another_generator_are_found_in_documents(spark, docs):
+    """Digests and random bytes in usual codes, planted in documents; documents without any secret get no added span."""
+    import base64
+    import hashlib
+
+    from wirelake.llm import secrets
+
+    models = secrets.learn(docs)
+    rows = [r for r in docs.select("doc_id", "text").where("text is not null").orderBy("doc_id").limit(600).collect() if len(r.text) > 40]
+    planted = []
+    for i, r in enumerate(rows):
+        raw = hashlib.sha512(f"seed {i}".encode()).digest()
+        n = 12 + i % 28
+        token = [raw[:n].hex().upper(), base64.b64encode(raw[:n]).decode().rstrip("="), base64.urlsafe_b64encode(raw[:n]).decode().rstrip("="), base64.b32encode(raw[:20]).decode(), "gh_" + base64.b64encode(raw).decode().replace("+", "").replace("/", "")[:36]][i % 5]
+        at = r.text.find(" ", len(r.text) // 2) + 1 or len(r.text)
+        head = r.text[:at] if r.text[:at].endswith(" ") else r.text[:at] + " "
+        planted.append((r.doc_id, f"{head}{token} {r.text[at:]}", len(head), len(head) + len(token)))
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(planted, "doc_id long, text string, a int, b int"), models).collect()}
+
+    def covered(spans, a, b):
+        return sum(max(0, min(int(y), b) - max(int(x), a)) for _, x, y in (s.split(":") for s in spans.split(",") if s)) >= 0.9 * (b - a)
+
+    assert sum(covered(got[d], a, b) for d, _, a, b in planted) >= 0.95 * len(planted)
+    clean = secrets.scan(docs.select("doc_id", "text"), models)
+    assert clean.where("n_assign + n_access + n_hex = 0 and n_markov > 0").count() <= 0.002 * clean.count()
+
+
+def test_markov_spans_are_linear_and_leave_base_spans_alone(spark, docs):
+    from wirelake.llm import secrets
+
+    models = secrets.learn(docs)
+    text = "Zq8vT3xLw9Rk2mYp7NcB" + "deadbeef" * 4 + "Hs5Jd1fGa0Ue6WtKx4Vb" + " token: abcdef " * 20_000
+    base = secrets.base_spans(text)
+    found = models.spans(text, base)
+    assert all(not (a < y and x < b) for a, _, b in found for x, _, y in base[:3])
+    assert {text[a:b] for a, _, b in found} >= {"Hs5Jd1fGa0Ue6WtKx4Vb"}

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
-Both models are first-order chains over the characters of tokens. A token that is long enough, mixes letters
-and digits, and is likelier by far as a random string is a span of its own.
+Both models are first-order chains over the characters of tokens. A token that is long enough and likelier by far as
+a random string (by more, if it has no digit or no letter) is a span of its own.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 #: Documents that the models are learned from (about), and made-up random strings beside those found in them.
 SAMPLE, MADE_UP = 20_000, 3_000
 #: Least log-likelihood ratio of a token in all and for each character.
-LEAST_TOTAL, LEAST_EACH = 8.0, 0.35
+LEAST_TOTAL, LEAST_EACH, LEAST_LENGTH, UNMIXED = 8.0, 0.35, 16, 2
 
 
 def base_spans(text: str, kinds: tuple[bool, ...] = (True, True, True)) -> list[tuple[int, int, int]]:
@@ -81,21 +81,37 @@ class Models:
         return float(self.ratio[codes[:-1], codes[1:]].sum())
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Tokens that look random and meet no span of the patterns."""
-        out = []
+        """Tokens that look random, without what the patterns' spans (in order) have of them. One pass over both."""
+        out, edges = [], []
+        for a, _, b in taken:  # merged
+            if edges and a <= edges[-1][1]:
+                edges[-1] = (edges[-1][0], max(b, edges[-1][1]))
+            else:
+                edges.append((a, b))
+        i = 0
         for m in TOKEN.finditer(text):
-            token = m[0]
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and m.start() < b for a, _, b in taken):
-                ratio = self(token)
-                if ratio >= LEAST_TOTAL and ratio >= LEAST_EACH * len(token):
-                    out.append((m.start(), 3, m.end()))
+            while i < len(edges) and edges[i][1] <= m.start():
+                i += 1
+            at, k = m.start(), i
+            while at < m.end():
+                meets = k < len(edges) and edges[k][0] < m.end()
+                stop = max(at, edges[k][0]) if meets else m.end()
+                if stop - at >= LEAST_LENGTH and self.random(text[at:stop]):
+                    out.append((at, 3, stop))
+                at, k = (max(stop, edges[k][1]), k + 1) if meets else (stop, k)
         return out
 
+    def random(self, token: str) -> bool:
+        """If the log-likelihood ratio is high enough in all and for each character, higher where digits or letters are missing."""
+        mixed = any(map(str.isdigit, token)) and any(map(str.isalpha, token))
+        ratio = self(token)
+        return ratio >= LEAST_TOTAL * (1 if mixed else UNMIXED) and ratio >= LEAST_EACH * (1 if mixed else UNMIXED) * len(token)
+
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Models:
     """Models of about `sample` rows chosen by a hash: values of their base spans are labelled random, other tokens ordinary."""
     n = docs.count()
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1))))
+    chosen = docs.select("text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET) + 1), np.int64)
@@ -150,4 +166,5 @@ def scan(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """Counts of kinds, base_sha256 and spans of every row; null and empty texts have none, repeated rows are alike, an empty table gives none."""
     return scan(docs, learn(docs)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_markov")
