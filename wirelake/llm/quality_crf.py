@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where((crc_mod("doc_id", 3) != 1) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     n = labels.count()
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / max(n, 1)))).limit(2 * rows)
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / max(n, 1))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
