@@ -119,8 +119,8 @@ def test_line_dedup(case):
     from wirelake.llm import lines
 
     same(lines.op9(case[0]), brute.op9(case[1]))
-    for most, bits, sent in ((2, 10, 16 << 20), (3, None, 0), (10, 6, 0), (1, None, 0)):
-        got = lines.drop_lines(case[0], most, bits=bits, sent_bytes=sent)
+    for most, segment, sent in ((2, 50, 16 << 20), (3, 1 << 21, 0), (10, 3, 0), (1, 1 << 21, 0)):
+        got = lines.drop_lines(case[0], most, segment_lines=segment, sent_bytes=sent)
         same(got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)), brute.op9(case[1], most))
 
 

@@ -1,8 +1,8 @@
 """Line dedup with two Bloom filters: one of lines seen once, one of lines seen twice.
 
-Each task collects the filter bits of its lines; merged, two tasks' once-seen bits that meet become twice-seen.
-Lines that the twice-seen filter doesn't have are unique. Only the others, the suspected repeats, are
-counted exactly in a shuffle, which also finds a line's first occurrence.
+Both are cut into segments by the lines' hashes, as many as the lines need, each kept by one task. Lines that the
+twice-seen filter doesn't have are unique. Only the others, the suspected repeats, are counted exactly in a
+shuffle, which also finds a line's first occurrence.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, joined, slices, texts
+from .common import checkpoint, joined, sent, slices, texts
 
 MOST = 10
-#: Bits of a filter for each line, bounds of its size (a power of two; with more lines than that serves, more of them
-#: are suspected and confirmed), bits set for each line, bits of a segment that one task merges.
-PER_LINE, BITS, HASHES, SEGMENT = 16, (20, 28), 2, 19
+#: Bits of a filter for each line (rounded up to a power of two in all), bits set for each line, lines of a segment, whose
+#: filters and hashes one task holds, text whose distinct lines are sent together.
+PER_LINE, HASHES, SEGMENT_LINES, SENT_TEXT = 8, 2, 1 << 21, 8 << 20
 #: Bytes of repeated lines that are sent to all executors; beyond, their places are joined to the documents.
 SENT_BYTES = 16 << 20
 
@@ -55,86 +55,86 @@ def places(keys: list[str], bits: int) -> np.ndarray:
         return np.stack([(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(HASHES)], axis=1).astype(np.int64)
 
 
-def among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which of x are in sorted values."""
-    if not len(found):
-        return np.zeros(x.shape, bool)
-    return found[np.minimum(np.searchsorted(found, x), len(found) - 1)] == x
+def hashes(keys: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def twice_seen(docs: DataFrame, bits: int) -> dict[int, bytes]:
-    """The segments of the twice-seen filter."""
-    segment = min(SEGMENT, bits)
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    """The HASHES places of each hash in a filter of 2**bits bits."""
+    with np.errstate(over="ignore"):
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(HASHES)], axis=1).astype(np.int64)
+
+
+def suspected(docs: DataFrame, segments: int, bits: int) -> DataFrame:
+    """Hashes of lines that the twice-seen filter of their segment has: all that repeat, and a few that don't.
+
+    Tasks send each distinct hash once a slice, eight bytes, twice where the slice repeats it; a hash's leading part names
+    its segment, whose two filters one task keeps. Nothing passes through the driver.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A task's own filters are kept as sorted places, since it sets few of all bits.
-        once, twice = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=SENT_TEXT):
                 _, keys, counts = keys_of(texts(part.column("text")))
                 names, n = counted(keys, counts)
-                at = places(names, bits)
-                again = (n > 1) | among(at, once).all(axis=1)
-                twice, once = np.union1d(twice, at[again]), np.union1d(once, at)
-        ends = np.arange(1, (1 << (bits - segment)) + 1) << segment
-        for s, (o, t) in enumerate(zip(np.split(once, np.searchsorted(once, ends)), np.split(twice, np.searchsorted(twice, ends)), strict=True)):
-            if len(o):
-                packed = [(x - (s << segment)).astype(np.uint32).tobytes() for x in (o, t)]
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": pa.array(packed[:1], pa.binary()), "twice": pa.array(packed[1:], pa.binary())})
+                h = hashes(names)
+                h = np.concatenate([h, h[n > 1]])
+                to = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                each, first = np.unique(to[order], return_index=True)
+                packed = [x.tobytes() for x in np.split(h[order], first[1:])] if len(h) else []
+                yield pa.RecordBatch.from_pydict({"segment": pa.array(each, pa.int32()), "hashes": pa.array(packed, pa.binary())})
 
     def merge(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << segment, bool), np.zeros(1 << segment, bool)
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        all_: list[np.ndarray] = []
         for batch in rows:
-            for o, t in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-                o, t = np.frombuffer(o, np.uint32), np.frombuffer(t, np.uint32)
-                twice[t] = True
-                twice[o[once[o]]] = True
-                once[o] = True
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([np.packbits(twice).tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(collect, "segment int, once binary, twice binary").groupBy("segment").applyInArrow(merge, "segment int, twice binary")
-    return {r["segment"]: bytes(r["twice"]) for r in found.collect()}
-
-
-def repeated_lines(docs: DataFrame, most: int = MOST, bits: int | None = None) -> DataFrame:
+            for raw in batch.column("hashes").to_pylist():
+                h = np.frombuffer(raw, np.uint64)
+                new, times = np.unique(h, return_counts=True)
+                at = places(new, bits)
+                again = once[at].all(axis=1) | (times > 1)
+                twice[at[again]] = True
+                once[at] = True
+                all_.append(new)
+        h = np.unique(np.concatenate(all_))
+        found = h[twice[places(h, bits)].all(axis=1)]
+        yield pa.RecordBatch.from_pydict({"hash": found.view(np.int64)})
+
+    return docs.select("text").mapInArrow(collect, "segment int, hashes binary").groupBy("segment").applyInArrow(merge, "hash long")
+
+
+def repeated_lines(docs: DataFrame, most: int = MOST, segment_lines: int = SEGMENT_LINES) -> DataFrame:
     """key, n (rows that have it) and first (the smallest doc_id with it, no doc_id counting last) of lines in `most` rows or more."""
-    if bits is None:
-        n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-        bits = min(max(math.ceil(math.log2(n * PER_LINE)), BITS[0]), BITS[1])
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits) if most > 1 else None)
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = None
-        if shared.value is not None:
-            segment = min(SEGMENT, bits)
-            twice = np.zeros((1 << bits) // 8, np.uint8)
-            for s, raw in shared.value.items():
-                twice[s << (segment - 3) : (s + 1) << (segment - 3)] = np.frombuffer(raw, np.uint8)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 _, keys, counts = keys_of(texts(part.column("text")))
                 names, n = counted(keys, counts)
-                if twice is not None and names:
-                    at = places(names, bits)
-                    seen = ((twice[at >> 3] >> (7 - (at & 7)) & 1) == 1).all(axis=1)
-                    names, n = [k for k, x in zip(names, seen.tolist(), strict=True) if x], n[seen]
                 row = pa.array(np.repeat(np.arange(len(counts)), counts))
                 least = pa.table({"key": keys, "doc_id": part.column("doc_id").take(row)}).group_by("key").aggregate([("doc_id", "min")])
                 first = least.column("doc_id_min").take(pc.index_in(pa.array(names, pa.string()), least.column("key").combine_chunks())).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int64)), first.cast(pa.int64())], ["key", "n", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(hashes(names).view(np.int64)), pa.array(n.astype(np.int64)), first.cast(pa.int64())], ["key", "hash", "n", "first"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(suspects, "key string, n long, first long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines, "key string, hash long, n long, first long")
+    if most > 1:
+        n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
+        segments = n // segment_lines + 1
+        bits = max(10, math.ceil(math.log2(min(n, segment_lines) * PER_LINE)))
+        found = found.join(sent(checkpoint(suspected(docs, segments, bits))), "hash", "left_semi")
     return found.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= most)
 
 
-def drop_lines(docs: DataFrame, most: int = MOST, keep_first: bool = False, bits: int | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
+def drop_lines(docs: DataFrame, most: int = MOST, keep_first: bool = False, segment_lines: int = SEGMENT_LINES, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """doc_id, n_lines, n_dropped and text (what is left, joined by line feeds) of every row.
 
     A line whose key (stripped of ASCII white space, A-Z lowered, not empty) is in `most` rows or more goes
     everywhere or, with keep_first, everywhere but in the rows with its smallest doc_id, once in each. A null text is
     one empty line. Each row is a document of its own.
     """
-    repeated = checkpoint(repeated_lines(docs, most, bits))
+    repeated = checkpoint(repeated_lines(docs, most, segment_lines))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = repeated.agg(F.sum(F.octet_length("key") + 80)).first()[0] or 0
     schema = "doc_id long, n_lines long, n_dropped long, text string"
@@ -180,6 +180,7 @@ def _dropping(batches: Iterator[pa.RecordBatch], known: dict | None, keep_first:
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every row; nulls, empty texts, ties and repeated rows as in drop_lines."""
     return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
