@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,29 @@ SLICE_BYTES = 4 << 20
 SENT_ROWS = 500_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Within it, jobs hand at most that many rows at a time to Python workers; for wide rows, of which the usual number needs much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is named."""
+    """The folder that driver and executors share; a local one is made only where none is named and Spark runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = kept or tempfile.mkdtemp(prefix="wirelake-")
         if not kept:
             spark.sparkContext.setCheckpointDir(at)
