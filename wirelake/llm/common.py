@@ -25,6 +25,8 @@ TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SLICE_BYTES = 4 << 20
 #: Rows of numbers that are sent to all executors.
 SENT_ROWS = 500_000
+#: Rows of numbers (ids, hashes, links) of a partition, and the most partitions of such a table.
+ROWS_A_PART, MOST_PARTS = 50_000, 20_000
 
 
 @contextmanager
@@ -39,6 +41,22 @@ def small_batches(spark: SparkSession, rows: int = 1_000):
         spark.conf.set(name, before)
 
 
+def parts_of(rows: int, each: int = ROWS_A_PART) -> int:
+    return max(1, min(MOST_PARTS, -(-rows // each)))
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int, each: int = ROWS_A_PART):
+    """Within it, shuffles have as many partitions as tables of so many rows need, be it fewer or more than the session's setting."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, parts_of(rows, each))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
