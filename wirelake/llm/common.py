@@ -42,21 +42,10 @@ def small_batches(spark: SparkSession, rows: int = 1_000):
 
 
 def parts_of(rows: int, each: int = ROWS_A_PART) -> int:
+    """To how many partitions a table of so many rows is coalesced, so that small tables make no files by the hundred in each shuffle."""
     return max(1, min(MOST_PARTS, -(-rows // each)))
 
 
-@contextmanager
-def sized(spark: SparkSession, rows: int, each: int = ROWS_A_PART):
-    """Within it, shuffles have as many partitions as tables of so many rows need, be it fewer or more than the session's setting."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, parts_of(rows, each))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
