@@ -14,10 +14,14 @@ from .quality_rules import OP2_SQL
 from .substring import OP6_SQL
 
 
-def _over_documents(module: str, function: str, *others: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that applies an operator to the whole of `documents` (and other tables)."""
+def _over(module: str, function: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that applies an operator to whole tables."""
     apply = getattr(importlib.import_module(f"{__package__}.{module}"), function)
-    return lambda spark, sf_dir: apply(*(table(spark, sf_dir, t) for t in ("documents", *others)))
+    return lambda spark, sf_dir: apply(*(table(spark, sf_dir, t) for t in tables))
+
+
+def _over_documents(module: str, function: str, *others: str) -> Callable[[SparkSession, str], DataFrame]:
+    return _over(module, function, "documents", *others)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": _over_documents("simhash", "op8"),
     "op9_line_dedup": _over_documents("lines", "op9"),
     "op10_decontaminate": _over_documents("decontaminate", "op10", "benchmark"),
+    "op13_sentencepiece": _over_documents("pieces", "op13"),
 }
 
 SQL: dict[str, str] = {
