@@ -11,7 +11,9 @@ from .common import table
 from .decontaminate import OP10_SQL
 from .lines import OP9_SQL
 from .quality_rules import OP2_SQL
+from .repair import OP12_SQL
 from .substring import OP6_SQL
+from .trie import OP11_SQL
 
 
 def _over(module: str, function: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,6 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": _over_documents("simhash", "op8"),
     "op9_line_dedup": _over_documents("lines", "op9"),
     "op10_decontaminate": _over_documents("decontaminate", "op10", "benchmark"),
+    "op11_prefix_trie": _over("trie", "op11", "conversations"),
+    "op12_conversation_repair": _over("repair", "op12", "conversations"),
     "op13_sentencepiece": _over_documents("pieces", "op13"),
 }
 
@@ -43,4 +47,6 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
