@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import latency_text
+from . import blocked as B
 
 TERMINAL = ("COMPLETED", "FAILED")
 LIVE_SECONDS = 90
@@ -142,31 +143,37 @@ def upsert_captures(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def record_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The newest row of each object; rows without a capture, bucket or key are refused."""
+    """The newest row of each object; rows without a capture, bucket or key are refused, new ones without a time are of now."""
+    if new.schema["created_at"].dataType.typeName().startswith("timestamp"):
+        new = new.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
     named = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     rows = old.unionByName(new.where(named("capture_id") & named("s3_bucket") & named("s3_key")))
     rows = rows.withColumn("storage_backend", F.coalesce(F.nullif("storage_backend", F.lit("")), F.lit("s3")))
     return latest(rows, ["capture_id", "s3_bucket", "s3_key"], "created_at", "size_bytes")
 
 
-def increase(samples: DataFrame, series: list[str], time: str = "t", value: str = "v", range_s: int = 300) -> DataFrame:
-    """Increase of counters over the last range_s seconds at each sample; a fall is a restart from zero.
+def increase(samples: DataFrame, series: list[str], time: str = "t", value: str = "v", range_s: int = 300, ties: list[str] = (), block_s: int = 86_400) -> DataFrame:
+    """Increase of counters over the last range_s seconds at each sample, in order of time, then ties; a fall is a restart from zero.
 
-    A series' samples are in one task's window; series are many and short (one for each process and counter).
+    Series are cut into blocks of block_s seconds, which know the last value of the one before and the rows that reach into them.
     """
-    order = Window.partitionBy(*series).orderBy(time)
-    step = F.col(value) - F.lag(value).over(order)
-    stepped = samples.withColumn("step", F.when(step < 0, F.col(value)).otherwise(F.coalesce(step, F.lit(0))))
-    return stepped.withColumn("increase", F.sum("step").over(order.rangeBetween(-range_s, 0))).drop("step")
+    stepped = B.previous(samples, series, time, value, block_s, ties, "_v")
+    step = F.col(value) - F.col("_v")
+    stepped = stepped.withColumn("_step", F.when(step < 0, F.col(value)).otherwise(F.coalesce(step, F.lit(0)))).drop("_v")
+    return B.range_sum(stepped, series, time, "_step", range_s, block_s, "increase").drop("_step")
 
 
-def retention(objects: DataFrame, asof: Column, max_age_s: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Objects that a storage's age or size bound no longer covers, newest kept first. Nothing is deleted."""
+def retention(objects: DataFrame, asof: Column, max_age_s: int | None = None, max_bytes: int | None = None, block_s: int = 86_400) -> DataFrame:
+    """Objects that a storage's age or size bound no longer covers, newest kept first, equally new ones by key. Nothing is deleted.
+
+    Bytes are added up by blocks of block_s seconds, then within them, so that a storage isn't one task's.
+    """
     old = (F.unix_micros(asof) - F.unix_micros("modified")) / 1e6 > max_age_s if max_age_s is not None else F.lit(False)
     if max_bytes is None:
         return objects.where(old)
-    upto = F.sum("length").over(Window.partitionBy("storage").orderBy(F.desc("modified"), "key"))
-    return objects.withColumn("upto", upto).where(old | (F.col("upto") > max_bytes)).drop("upto")
+    rows = objects.withColumn("_us", F.unix_micros("modified"))
+    upto = B.running_sum(rows, ["storage"], "_us", "length", block_s * 1_000_000, ["key"], "_upto", desc=True)
+    return upto.where(old | (F.col("_upto") > max_bytes)).drop("_us", "_upto")
 
 
 def find(df: DataFrame, **wanted: str | None) -> DataFrame:

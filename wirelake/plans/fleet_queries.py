@@ -197,7 +197,7 @@ def counter_increase(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("series").orderBy("ts", "event_id")
     samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     samples = samples.withColumn("v", (F.row_number().over(w) % 97).cast("long")).withColumn("t", F.floor(X.micros("ts") / 1_000_000).cast("long"))
-    return L.increase(samples.drop("ts"), ["series"], range_s=3600).select("series", "t", "event_id", "v", "increase")
+    return L.increase(samples.drop("ts"), ["series"], range_s=3600, ties=["event_id"]).select("series", "t", "event_id", "v", "increase")
 
 
 @query("select capture_id from captures where epoch_us(timestamp '1999-01-01') - created_us > 86400000000 * 1000::bigint", CAPTURES)

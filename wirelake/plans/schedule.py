@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import blocked
 
 ORDER = ("object_key", "line")
 
@@ -38,9 +39,10 @@ def unlimited(df: DataFrame) -> DataFrame:
 
 
 def source_offsets(df: DataFrame, keys: list[str] = ("shard",), order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Nanoseconds since the first time that was seen in the shard, in read order."""
-    whole = _in_shard(list(keys), order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn("source_offset_ns", (X.micros("timestamp") - F.first(X.micros("timestamp"), ignorenulls=True).over(whole)) * 1000)
+    """Nanoseconds since the first time that was seen in the shard, in read order. That time is an aggregate, so no shard is ordered as a whole."""
+    us = X.micros("timestamp")
+    first = df.where(us.isNotNull()).groupBy(*keys).agg(F.min_by(us, F.struct(*order)).alias("_first"))
+    return blocked.with_values(df, first, list(keys)).withColumn("source_offset_ns", (us - F.col("_first")) * 1000).drop("_first")
 
 
 def batches(df: DataFrame, size: int | None = None, keys: list[str] = ("shard",), order: tuple[str, ...] = ORDER) -> DataFrame:

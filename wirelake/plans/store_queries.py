@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import policy as D
 from ..operators import select as S
-from ..sources import lake
+from ..sources import lake, objects
 from ..sources.adapters import CAPTURED, HEARTBEATS, SHARDS, captured, heartbeats, shard_status, table
 from ..sources.shared import fresh_path
 from ..streaming import jobs
+from ..streaming.keyed import KeyedTable, kept_up
 from .fleet_queries import ABORTS, NEWEST, POLICIES, ROLLUP, policies
 from .registry import query
 from .request_queries import FNV
@@ -28,20 +30,61 @@ def lake_round_trip(spark, sf_dir) -> DataFrame:
     return df.select("id", X.micros("timestamp").alias("ts_us"), "method", "path", F.decode("body", "utf-8").alias("body"), F.col("contentLength").alias("content_length"), "protocol", F.col("metadata")["host"].alias("host"), F.col("metadata")["query"].alias("query"), F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
 
 
-@query("select distinct 'ns/all' as capture_id, capture_date::varchar as day, 1 as has_objects from captured", CAPTURED)
-def inventory(spark, sf_dir) -> DataFrame:
-    """The days that a written capture has objects of, by their keys."""
-    root = fresh_path(spark, "lake")
-    lake.write_capture(captured(spark, sf_dir), root, "ns/all")
-    return lake.inventory(spark, root).groupBy("of.capture_id", F.col("of.day").cast("string").alias("day")).agg(F.max((F.col("length") > 0).cast("int")).alias("has_objects"))
+#: Lines of JSON as captures store them.
+STORED = """stored as (select *, '{"id":"' || id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","method":"' || method || '","path":"' || path || '","headers":{"Content-Type":["application/json"],"Authorization":["Bearer ' || user_id || '"],"'
+    || case when event_id % 2 = 0 then 'X-Debug' else 'x-debug' end || '":["' || debug || '"],"Connection":["keep-alive"]},"body":"' || to_base64(encode(body)) || '","contentLength":' || content_length || ',"protocol":"' || protocol
+    || '","metadata":{"host":"' || host || '","query":"' || query || '"}}' || chr(10) as stored_line from captured)"""
 
 
-@query("select 'ns/all' as capture_id, capture_date::varchar as day, count(*) n, true as compressed from captured group by 2", CAPTURED)
+@query("select 'ns/all' as capture_id, capture_date::varchar as day, count(*) n, sum(strlen(stored_line))::bigint bytes, true as compressed from stored group by 2", CAPTURED, STORED)
 def capture_byte_report(spark, sf_dir) -> DataFrame:
-    """Lines of each day as stored, and if the objects are smaller than their lines."""
+    """Lines and bytes of each day as stored, and if the objects are smaller than their lines."""
     root = fresh_path(spark, "lake")
     lake.write_capture(captured(spark, sf_dir), root, "ns/all")
-    return lake.capture_bytes(spark, root).select("capture_id", F.col("day").cast("string").alias("day"), "n", (F.col("compressed_bytes") < F.col("bytes")).alias("compressed"))
+    return lake.capture_bytes(spark, root).select("capture_id", F.col("day").cast("string").alias("day"), "n", "bytes", (F.col("compressed_bytes") < F.col("bytes")).alias("compressed"))
+
+
+@query("select 'ns/all' as capture_id, capture_date::varchar as day, true as named, 0::bigint as holes from captured group by 2", CAPTURED)
+def inventory(spark, sf_dir) -> DataFrame:
+    """Days that a written capture has objects of, if all are named by pod and number, and how many numbers are missing below each pod's highest."""
+    root = fresh_path(spark, "lake")
+    lake.write_capture(captured(spark, sf_dir), root, "ns/all", max_bytes=200_000, pod="agent")
+    found = lake.inventory(spark, root).select("length", "of.*")
+    holes = found.groupBy("pod").agg((F.max("seq") - F.count("*")).alias("holes"))
+    return found.join(holes, "pod", "left").groupBy("capture_id", F.col("day").cast("string").alias("day")).agg(F.bool_and(F.col("pod").startswith("agent-") & (F.col("length") > 0)).alias("named"), F.sum("holes").alias("holes"))
+
+
+ROUND_TRIP = "select id, ts_us, method, path, body, content_length, protocol, host, query, debug from captured where ts >= timestamp '2024-01-03 06:00:00' and ts < timestamp '2024-01-09 00:00:00'"
+
+
+@query(ROUND_TRIP, CAPTURED)
+def capture_source(spark, sf_dir) -> DataFrame:
+    """A written capture through the data source: bounds of the time leave out days, Spark applies them to rows."""
+    root = fresh_path(spark, "lake")
+    lake.write_capture(captured(spark, sf_dir), root, "ns/all", max_bytes=1 << 20)
+    objects.register(spark)
+    df = spark.read.format("capture").option("path", root).option("capture", "ns/all").load()
+    df = df.where((F.col("timestamp") >= F.lit(dt.datetime(2024, 1, 3, 6))) & (F.col("timestamp") < F.lit(dt.datetime(2024, 1, 9))))
+    debug = F.coalesce(F.col("headers")["X-Debug"][0], F.col("headers")["x-debug"][0])
+    return df.select("id", X.micros("timestamp").alias("ts_us"), "method", "path", F.decode("body", "utf-8").alias("body"), F.col("contentLength").alias("content_length"), "protocol", F.col("metadata")["host"].alias("host"), F.col("metadata")["query"].alias("query"), debug.alias("debug"))
+
+
+@query(f"select s shard, count(*) n, sha256(string_agg(stored_line, '' order by object_key, line)) as sha256 from (select *, {FNV.format('id', 5)} s from stored) group by s", CAPTURED, STORED)
+def slice_sha256(spark, sf_dir) -> DataFrame:
+    """Rows and digest of each slice's lines in the order of their source, from the manifests that the writer's commit published."""
+    root = fresh_path(spark, "lake")
+    return lake.write_shards(captured(spark, sf_dir), root, "ns/orders", 5, max_bytes=1 << 20)
+
+
+@query(f"select s shard, min(ts_us) first_us, max(ts_us) last_us, sum((ts_us < before)::int)::bigint backwards from (select *, lag(ts_us) over (partition by s order by object_key, line) before from (select *, {FNV.format('id', 3)} s from captured)) group by s", CAPTURED)
+def slice_read_order(spark, sf_dir) -> DataFrame:
+    """Slices as they are read again, object after object: first and last time, and how often the time goes back, as in the source's order."""
+    root = fresh_path(spark, "lake")
+    lake.write_shards(captured(spark, sf_dir), root, "ns/orders", 3, max_bytes=200_000)
+    read = [lake.read_lines(spark, root, lake.slice_id("ns/orders", i, 3)).select(F.lit(i).alias("shard"), "object_key", "line", X.micros("request.timestamp").alias("t")) for i in range(3)]
+    rows = reduce(DataFrame.union, read)
+    rows = rows.withColumn("before", F.lag("t").over(Window.partitionBy("shard").orderBy("object_key", "line")))
+    return rows.groupBy("shard").agg(F.min("t").alias("first_us"), F.max("t").alias("last_us"), F.count_if(F.col("t") < F.col("before")).alias("backwards"))
 
 
 @query(f"select s shard, 'sha256 differs' as fault from (select distinct {FNV.format('id', 4)} s from captured)", CAPTURED)
@@ -53,7 +96,8 @@ def manifest_sha256(spark, sf_dir) -> DataFrame:
     said.write.json(f"{root}/manifests")
     first = S.with_shard(df.select("id"), 4).groupBy("shard").agg(F.min("id").alias("first"))
     changed = df.join(first, df.id == first["first"], "left").withColumn("body", F.when(F.col("first").isNotNull(), F.encode(F.lit("changed"), "utf-8")).otherwise(F.col("body"))).drop("shard", "first")
-    now = lake.write_shards(changed, root, "ns/orders", 4).select(F.col("shard").alias("shard_index"), "n", "sha256")
+    lake.write_shards(changed, root, "ns/orders", 4)
+    now = lake.slice_digests(spark, root, "ns/orders", 4).withColumnRenamed("shard", "shard_index")
     manifests = lake.spark_manifests(spark, f"{root}/manifests").select(F.col("shardIndex").alias("shard_index"), F.col("formatVersion").alias("format_version"), F.col("recordCount").alias("record_count"), "sha256")
     return D.manifest_faults(manifests, now, ("shard_index",)).select(F.col("shard_index").alias("shard"), "fault")
 
@@ -63,9 +107,10 @@ def rejected_lines(spark, sf_dir) -> DataFrame:
     """Malformed lines among good ones: the good ones are read, the others reported with their objects."""
     root = fresh_path(spark, "lake")
     df = captured(spark, sf_dir)
-    line = F.when(F.col("line") % 37 == 0, F.concat(F.lit("not json "), "id")).otherwise(F.to_json(F.struct("id", "timestamp", "method", "path")))
+    odd = F.element_at(F.array(F.concat(F.lit("not json "), "id"), F.to_json(F.struct("id", F.lit("no time").alias("timestamp"))), F.lit(""), F.lit("[]")), (F.col("line") / 37 % 4 + 1).cast("int"))
+    line = F.when(F.col("line") % 37 == 0, odd).otherwise(F.to_json(F.struct("id", "timestamp", "method", "path")))
     df.select(line.alias("value"), F.date_format("timestamp", "yyyy-MM-dd").alias("day")).write.partitionBy("day").option("compression", "gzip").text(f"{root}/ns/bad")
-    good, bad = lake.read_capture(spark, root, "ns/bad"), lake.rejects(spark, root, "ns/bad").where("text like 'not json req-%'")
+    good, bad = lake.read_capture(spark, root, "ns/bad"), lake.rejects(spark, root, "ns/bad")
     return good.agg(F.lit("good").alias("kind"), F.count("id").alias("n")).unionByName(bad.agg(F.lit("rejected").alias("kind"), F.count("*").alias("n")))
 
 
@@ -90,11 +135,10 @@ def read_one_shard(spark, sf_dir) -> DataFrame:
 
 @query("select 'ns/orders/shards/' || s || '-of-4' \"captureID\", n \"recordCount\", s \"shardIndex\", 4 \"shardCount\" from (select " + FNV.format("id", 4) + " s, count(*) n from captured group by 1)", CAPTURED)
 def shard_manifests(spark, sf_dir) -> DataFrame:
-    """Manifests of slices, written after the data and read again."""
+    """Manifests of slices, published by the commit after the data, and read again."""
     root = fresh_path(spark, "lake")
-    counts = lake.write_shards(captured(spark, sf_dir).drop("object_key", "line", "capture_date"), root, "ns/orders", 4)
-    lake.manifests_of(counts, "ns/orders", 4).write.json(f"{root}/manifests")
-    return lake.spark_manifests(spark, f"{root}/manifests").select("captureID", "recordCount", "shardIndex", "shardCount")
+    lake.write_shards(captured(spark, sf_dir).drop("object_key", "line", "capture_date"), root, "ns/orders", 4)
+    return lake.slice_manifests(spark, root, "ns/orders", 4).select("captureID", "recordCount", "shardIndex", "shardCount")
 
 
 @query("select capture_date::varchar as day, count(*) n, sum(content_length)::bigint bytes from captured where starts_with(path, '/api/v1') group by 1", CAPTURED)
@@ -113,8 +157,9 @@ def streamed_latest(spark, sf_dir) -> DataFrame:
     """The newest heartbeat of each spoke, kept by a stream."""
     root = fresh_path(spark, "stream")
     stream = spark.readStream.schema(heartbeats(spark, sf_dir).schema).parquet(_landed(spark, heartbeats(spark, sf_dir), root))
-    jobs.newest(stream, ["spoke_id"], "ts", "seq").writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("spoke_id", X.micros("ts").alias("ts_us"), "active_captures")
+    state = KeyedTable(spark, f"{root}/out", stream.schema, ["spoke_id"], ["ts", "seq"], buckets=8)
+    kept_up(jobs.newest(stream, ["spoke_id"], "ts", "seq"), state, f"{root}/checkpoint").awaitTermination()
+    return state.read().select("spoke_id", X.micros("ts").alias("ts_us"), "active_captures")
 
 
 def _landed(spark, df: DataFrame, root: str) -> str:
@@ -166,7 +211,7 @@ def streamed_run_monitor(spark, sf_dir) -> DataFrame:
     stream = spark.readStream.schema(s.schema).parquet(_landed(spark, s, root))
     tests = spark.range(50).select(F.concat(F.lit("lt-"), F.col("id").cast("string")).alias("load_test_name"))
     jobs.run_monitor(stream, policies(tests), NEWEST, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("load_test_name", "sent", "failed", "abort_reason")
+    return jobs.monitored(spark, f"{root}/out").read().select("load_test_name", "sent", "failed", "abort_reason")
 
 
 @query("select id from captured join (select capture_id, min(ts_us) s from captured group by 1) using (capture_id) where ts_us < s + 36 * 3600000000", CAPTURED)

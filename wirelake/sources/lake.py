@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,31 +16,61 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import policy as D
 from ..operators import select as S
+from . import objects
 
 #: Times are written to the microsecond, not to the millisecond that is the default.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: Seconds of an object in a batch, where age doesn't matter.
+UNAGED = 1 << 30
 
 
-def _objects(spark: SparkSession, path: str):
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz")
-    return reader.schema(schemas.REQUEST + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").option("mode", "PERMISSIVE").json(path)
+#: What a line is parsed with; the field tells a line that isn't JSON, or has a value that its column can't have.
+CORRUPT = "_corrupt_record"
+PARSING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
 
 
-def _day(path: Column | str) -> Column:
+def below(spark: SparkSession, root: str, path: Column, escaped: bool = True) -> Column:
+    """A path without the root that it lies in, cut off by length; escaped as in `_metadata.file_path`, or plain."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    base = (uri.getRawPath() if escaped else uri.getPath()).rstrip("/")
+    return F.substr(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit(len(base) + 2))
+
+
+def _day(key: Column | str) -> Column:
     """The first part of an object's key that is a date, as `2026-01-15` or `day=2026-01-15`."""
-    return F.try_to_date(F.regexp_extract(path, r"/(?:day=)?(\d{4}-\d{2}-\d{2})/", 1), "yyyy-MM-dd")
+    return F.try_to_date(F.regexp_extract(key, r"(?:^|/)(?:day=)?(\d{4}-\d{2}-\d{2})/", 1), "yyyy-MM-dd")
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """lines (value and others) with `request`, null where the line is malformed: no JSON object, or a value that its column can't have.
+
+    All columns are parsed whatever is selected later, so that a line is good or not for every reader. A line without an id is good,
+    a blank one isn't. What follows a whole object up to the line's last brace isn't looked at.
+    """
+    whole = F.from_json("value", f"{schemas.REQUEST}, {CORRUPT} string", PARSING)
+    text = F.btrim("value", F.lit(" \t\r\n"))
+    good = text.startswith("{") & text.endswith("}") & F.col("_parsed").isNotNull() & F.col(f"_parsed.{CORRUPT}").isNull()
+    return lines.withColumn("_parsed", whole).withColumn("request", F.when(good, F.col("_parsed"))).drop("_parsed")
+
+
+def _lines(spark: SparkSession, root: str, capture_id: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+    """object_key, capture_date and value of a capture's lines. Objects of days outside the range aren't opened: their paths are all that the
+    filter needs, so Spark applies it to the listing."""
+    at = f"{root.rstrip('/')}/{capture_id}"
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").text(at)
+    day = _day(below(spark, root, F.col("_metadata.file_path")))
+    return df.where(S.by_day(start, end, day)).select("value", F.col("_metadata.file_path").alias("object_key"), day.alias("capture_date"))
 
 
 def read_lines(spark: SparkSession, root: str, capture_id: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
-    """Rows of a capture with the object they come from and their line in it; malformed lines have `_corrupt_record`.
+    """A capture's lines as they are stored, with their object, their place in it and `request`, null for a malformed one.
 
-    Gzip objects aren't split, so rows of one keep their order. Objects of days outside the range aren't opened: their
-    paths are all that the filter needs, so Spark applies it to the listing.
+    Gzip objects aren't split, so rows of one keep their order.
     """
-    df = _objects(spark, f"{root.rstrip('/')}/{capture_id}").where(S.by_day(start, end, _day(F.col("_metadata.file_path"))))
-    df = df.select("*", F.col("_metadata.file_path").alias("object_key"), F.monotonically_increasing_id().alias("_n"))
+    df = _lines(spark, root, capture_id, start, end).withColumn("_n", F.monotonically_increasing_id())
     line = F.col("_n") - F.min("_n").over(Window.partitionBy("object_key"))
-    return df.withColumn("line", line).drop("_n")
+    return parsed(df.withColumn("line", line).drop("_n"))
 
 
 def read_capture(spark: SparkSession, root: str, capture_id: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
@@ -44,19 +78,23 @@ def read_capture(spark: SparkSession, root: str, capture_id: str, start: dt.date
 
     An object without a date in its key is read. Object and line are in the result only of read_lines, which orders for them.
     """
-    df = _objects(spark, f"{root.rstrip('/')}/{capture_id}").where(S.by_day(start, end, _day(F.col("_metadata.file_path"))))
-    df = df.select("*", F.col("_metadata.file_path").alias("object_key")).where("_corrupt_record is null and id is not null").drop("_corrupt_record")
-    return df.withColumn("capture_date", _day("object_key")).where(S.in_time(start, end))
+    df = parsed(_lines(spark, root, capture_id, start, end)).where("request is not null")
+    return df.select(*[F.col(f"request.{c}").alias(c) for c in schemas.REQUEST_COLUMNS], "object_key", "capture_date").where(S.in_time(start, end))
 
 
 def rejects(spark: SparkSession, root: str, capture_id: str) -> DataFrame:
-    """Malformed lines with their object and place."""
-    return read_lines(spark, root, capture_id).where("_corrupt_record is not null and id is null").select("object_key", "line", F.col("_corrupt_record").alias("text"))
+    """Malformed lines with their object and place: those that read_capture leaves out of the days that it reads."""
+    return read_lines(spark, root, capture_id).where("request is null").select("object_key", "line", F.col("value").alias("text"))
+
+
+def slice_id(capture_id: str, index: int | str, count: int) -> str:
+    """The capture that a slice is."""
+    return f"{capture_id}/shards/{index}-of-{count}"
 
 
 def read_slice(spark: SparkSession, root: str, capture_id: str, index: int, count: int) -> DataFrame:
     """A shard that was written by write_shards; no hash is looked at again."""
-    return spark.read.schema(schemas.REQUEST).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").json(f"{root.rstrip('/')}/{capture_id}/shards/slice={index}-of-{count}")
+    return read_capture(spark, root, slice_id(capture_id, index, count)).drop("object_key", "capture_date")
 
 
 #: capture, day, writer and number in the key of an object, as agents name it or as Spark's writer does.
@@ -66,7 +104,7 @@ OBJECT_KEY = r"^(?:(.*?)/)?(?:day=)?(\d{4}-\d{2}-\d{2})/([^/]+?)-(\d{5,})(?:[-.]
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """Objects under a root with size, time and what their keys say; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").load(root).select("path", "length", "modificationTime")
-    key = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('/')[-1])}/", "")
+    key = below(spark, root, F.col("path"), escaped=False)
     part = lambda i: F.nullif(F.regexp_extract(key, OBJECT_KEY, i), F.lit(""))
     of = F.struct(part(1).alias("capture_id"), F.try_to_date(part(2), "yyyy-MM-dd").alias("day"), part(3).alias("pod"), part(4).cast("long").alias("seq"))
     return files.select("path", key.alias("key"), "length", F.col("modificationTime").alias("modified"), of.alias("of"))
@@ -77,49 +115,72 @@ def capture_bytes(spark: SparkSession, root: str) -> DataFrame:
     of = inventory(spark, root).groupBy("of.capture_id", "of.day").agg(F.count("*").alias("objects"), F.sum("length").alias("compressed_bytes"))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").text(root).select(F.col("_metadata.file_path").alias("path"), (F.octet_length("value") + 1).alias("bytes"))
     each = lines.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
-    key = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('/')[-1])}/", "")
+    key = below(spark, root, F.col("path"))
     sums = each.groupBy(F.nullif(F.regexp_extract(key, OBJECT_KEY, 1), F.lit("")).alias("_c"), F.try_to_date(F.regexp_extract(key, OBJECT_KEY, 2), "yyyy-MM-dd").alias("_d")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("n"))
     return of.join(sums, of.capture_id.eqNullSafe(F.col("_c")) & of.day.eqNullSafe(F.col("_d"))).drop("_c", "_d")
 
 
-def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: int = 100_000) -> None:
-    """Gzip JSON lines in folders of the events' UTC days; empty fields are left out and bodies are base-64."""
-    columns = [c.split()[0] for c in schemas.REQUEST.replace(", ", "\n").splitlines() if " " in c]
-    out = df.select(*[c for c in columns if c in df.columns]).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
-    out.write.mode("overwrite").partitionBy("day").option("timestampFormat", MICROS).option("compression", "gzip").option("maxRecordsPerFile", rows_per_object).json(f"{root.rstrip('/')}/{capture_id}")
+def _stored(df: DataFrame, capture: Column, day: Column, *others: Column | str) -> DataFrame:
+    """Rows as the capture format writes them; empty fields are left out and bodies are base-64."""
+    names = [c for c in schemas.REQUEST_COLUMNS if c in df.columns]
+    return df.select(capture.alias("capture"), day.cast("string").alias("day"), F.to_json(F.struct(*names), {"timestampFormat": MICROS}).alias("line"), *others)
+
+
+def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: int | None = None, pod: str = "spark", max_bytes: int = objects.MAX_BYTES, manifest: bool = False) -> None:
+    """Gzip JSON lines in folders of the events' UTC days, in objects of max_bytes at most (and rows_per_object, where given), named by pod and number.
+
+    Rows are brought together by day, a large day to several tasks, and sorted by time in each; nothing is visible before the commit,
+    which writes a manifest last if asked to.
+    """
+    objects.register(df.sparkSession)
+    out = _stored(df, F.lit(capture_id), F.date_format("timestamp", "'day='yyyy-MM-dd"), "timestamp").hint("rebalance", "day").sortWithinPartitions("day", "timestamp").drop("timestamp")
+    w = out.write.format("capture").mode("overwrite").option("path", root).option("pod", pod).option("maxBytes", max_bytes).option("maxAge", UNAGED)
+    w = w.option("maxRows", rows_per_object) if rows_per_object else w
+    w.option("manifests", json.dumps({capture_id: {}} if manifest else {})).save()
 
 
-def write_shards(df: DataFrame, root: str, capture_id: str, count: int, tasks_per_slice: int = 4, rows_per_object: int = 100_000) -> DataFrame:
-    """Every row in one of `count` slices; gives rows and digest of each from the stored lines, zero where there are none.
+def write_shards(df: DataFrame, root: str, capture_id: str, count: int, rows_per_object: int | None = None, max_bytes: int = objects.MAX_BYTES) -> DataFrame:
+    """Every row in one of `count` slices, in the order of object_key and line where there are such columns, else of time and id; gives shard, n and sha256 of each.
 
-    One shuffle deals the rows to several tasks a slice; manifests are to be written from the result, after the data.
+    One shuffle deals the rows to a task a slice, which Spark sorts with spilling and the task streams; a slice is read by one worker, too.
+    The digest is that of the slice's lines in write order. Manifests are written by the same commit, after all data, for empty slices too.
     """
     if count < 2:
         raise ValueError("a split has two shards or more")
-    base = f"{root.rstrip('/')}/{capture_id}/shards"
-    named = S.with_shard(df, count).withColumn("slice", F.concat_ws("-of-", F.col("shard").cast("string"), F.lit(str(count))))
-    named = named.repartition(count * tasks_per_slice, "shard", F.pmod(F.xxhash64("id"), F.lit(tasks_per_slice)))
-    named.drop("shard").write.mode("overwrite").partitionBy("slice").option("timestampFormat", MICROS).option("compression", "gzip").option("maxRecordsPerFile", rows_per_object).json(base)
-    return slice_digests(df.sparkSession, root, capture_id, count)
+    objects.register(df.sparkSession)
+    order = ["object_key", "line"] if {"object_key", "line"} <= set(df.columns) else ["timestamp", "id"]
+    named = S.with_shard(df, count)
+    rows = _stored(named, F.concat(F.lit(f"{capture_id}/shards/"), F.col("shard").cast("string"), F.lit(f"-of-{count}")), F.lit(None), "shard", *(F.col(c).alias(f"_order{i}") for i, c in enumerate(order)))
+    rows = rows.repartitionById(count, "shard").sortWithinPartitions("shard", "_order0", "_order1").select("capture", "day", "line")
+    told = {slice_id(capture_id, i, count): {"shardIndex": i, "shardCount": count, "sourceCaptureID": capture_id} for i in range(count)}
+    w = rows.write.format("capture").mode("overwrite").option("path", root).option("pod", "slice").option("maxBytes", max_bytes).option("maxAge", UNAGED).option("manifests", json.dumps(told))
+    (w.option("maxRows", rows_per_object) if rows_per_object else w).save()
+    return slice_manifests(df.sparkSession, root, capture_id, count).select(F.col("shardIndex").alias("shard"), F.col("recordCount").alias("n"), "sha256")
+
+
+def slice_manifests(spark: SparkSession, root: str, capture_id: str, count: int) -> DataFrame:
+    """The manifests of a capture's slices."""
+    return read_manifests(spark, f"{root.rstrip('/')}/{capture_id}/shards/*-of-{count}/manifest.json")
 
 
 def slice_digests(spark: SparkSession, root: str, capture_id: str, count: int) -> DataFrame:
-    """shard, n and sha256 of each of `count` slices as they are stored.
+    """shard, n and sha256 of each of `count` slices as they are stored now: lines in order of the objects' keys.
 
-    An object's digest is that of its uncompressed lines in write order; a slice's is that of its objects' digests in order of their names.
+    A slice is read by one task, line after line; none is held.
     """
-    objects = object_digests(spark, f"{root.rstrip('/')}/{capture_id}/shards")
-    shard = F.regexp_extract("object_key", r"/slice=(\d+)-of-\d+/", 1).cast("int")
-    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("object_key", "sha256"))), lambda x: x["sha256"]), "")
-    found = objects.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n"), F.sha2(each.cast("binary"), 256).alias("sha256"))
-    all_ = spark.range(count).select(F.col("id").cast("int").alias("shard"))
-    return all_.join(found, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
-
-
-def object_digests(spark: SparkSession, path: str) -> DataFrame:
-    """object_key, n and sha256 of the lines of each gzip object. An object is read by one task, line after line; none is held."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*.gz").text(path).select(F.col("_metadata.file_path").alias("object_key"), "value")
-    return D.running_digest(lines, "object_key", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = objects.Store(root)
+        for batch in batches:
+            for i in batch.column("shard").to_pylist():
+                found, n = hashlib.sha256(), 0
+                for key, _ in store.find(slice_id(capture_id, i, count)):
+                    for line in store.lines(key):
+                        found.update(line)
+                        n += 1
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([i], pa.int32()), "n": pa.array([n], pa.int64()), "sha256": [found.hexdigest()]})
+
+    return spark.range(0, count, 1, count).select(F.col("id").cast("int").alias("shard")).mapInArrow(run, "shard int, n long, sha256 string")
 
 
 def manifests_of(counts: DataFrame, capture_id: str, count: int) -> DataFrame:

@@ -17,9 +17,12 @@ from .. import schemas
 from ..operators import fleet as L
 from ..operators import select as S
 from ..operators import transform as T
+from ..sources import objects
 from ..sources.lake import MICROS
+from .keyed import KeyedTable
 
 LATE = "10 minutes"
+TOTALS = "load_test_namespace string, load_test_name string, total long, sent long, failed long, filtered long, rps string, shards long, completed_shards long, failed_shards long, running_shards long, phase string, elapsed_s long, abort_reason string"
 
 
 def requests(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -48,10 +51,21 @@ def deduplicated(df: DataFrame, time: str = "timestamp") -> DataFrame:
 
 
 def newest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The newest row of each key, in update mode."""
+    """The newest row of each key; a stream of it in update mode has the changed keys of each batch."""
     return L.latest(df, keys, *order)
 
 
+def ingest_objects(df: DataFrame, root: str, capture: str, checkpoint: str, seconds: int | None = 5, max_bytes: int = objects.MAX_BYTES, pod: str = "agent") -> StreamingQuery:
+    """Writes a capture's objects, which end at so many bytes or, in a task, when a line is older than `seconds`; each batch once.
+
+    Objects are named by pod, batch, task and number; a batch that comes again finishes what it had begun.
+    """
+    objects.register(df.sparkSession)
+    out = df.select(F.lit(capture).alias("capture"), F.date_format("timestamp", "'day='yyyy-MM-dd").alias("day"), F.to_json(F.struct(*[c for c in schemas.REQUEST_COLUMNS if c in df.columns]), {"timestampFormat": MICROS}).alias("line"))
+    w = out.writeStream.format("capture").option("path", root).option("pod", pod).option("query", capture).option("maxBytes", max_bytes).option("maxAge", seconds or objects.MAX_AGE_S).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
+
+
 def rates(df: DataFrame, series: list[str], time: str = "ts", width: str = "5 minutes", slide: str = "30 seconds") -> DataFrame:
     """Events a second of every sliding window, late data left out."""
     seconds = pd.Timedelta(width).total_seconds()
@@ -62,16 +76,27 @@ def rates(df: DataFrame, series: list[str], time: str = "ts", width: str = "5 mi
 def run_monitor(reports: DataFrame, policies: DataFrame, order: tuple[str, ...], out: str, checkpoint: str) -> StreamingQuery:
     """Totals of load tests from the newest report of each shard, with the reason to stop where a policy has one.
 
-    Reports are cumulative, so the stream keeps each shard's newest; every batch writes all totals anew, and gives the same if it comes again.
-    policies: load_test_name, phase, elapsed_s and policy (see should_abort).
+    Reports are cumulative: a table has each shard's newest, of which a batch writes the buckets that changed, and another one the totals
+    of the load tests that have a changed shard. A batch that comes again changes neither. policies: load_test_name, phase, elapsed_s and
+    policy (see should_abort).
     """
+    spark, test = reports.sparkSession, ["load_test_namespace", "load_test_name"]
+    shards = KeyedTable(spark, f"{out}/shards", reports.schema, [*test, "shard_index"], order)
+    totals = monitored(spark, out)
+
+    def put(changed: DataFrame, batch: int) -> None:
+        shards.merge(changed, batch)
+        # Totals follow even if the batch stopped between the two tables.
+        now = L.load_test_rollup(shards.read().join(F.broadcast(changed.select(*test).distinct()), test, "left_semi"))
+        totals.merge(now.join(policies, "load_test_name", "left").withColumn("abort_reason", L.should_abort()), batch)
+
+    kept = newest(reports, [*test, "shard_index"], *order)
+    return kept.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
 
-    def write(newest_: DataFrame, batch: int) -> None:
-        totals = L.load_test_rollup(newest_).join(policies, "load_test_name", "left")
-        totals.withColumn("abort_reason", L.should_abort()).drop("policy").write.mode("overwrite").parquet(out)
 
-    kept = newest(reports, ["load_test_namespace", "load_test_name", "shard_index"], *order)
-    return kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+def monitored(spark: SparkSession, out: str) -> KeyedTable:
+    """The totals that run_monitor keeps up; a test's newest totals take the place of the older ones."""
+    return KeyedTable(spark, f"{out}/totals", TOTALS, ["load_test_namespace", "load_test_name"], merged=lambda old, new: old.join(new, ["load_test_namespace", "load_test_name"], "left_anti").unionByName(new))
 
 
 def liveness(heartbeats: DataFrame, seconds: int = L.LIVE_SECONDS) -> DataFrame:
