@@ -287,3 +287,55 @@ def test_mixed_keeps_columns_of_any_names_and_splits_repeated_rows(spark):
     assert max(r["count"] for r in mixed.groupBy(*docs.columns).count().collect() if r.doc_id != 1) <= 3
     sums = {r.source_size: (r.t, r.target) for r in plan.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()}
     assert all(abs(t - target) <= 2 for t, target in sums.values())
+
+
+@pytest.mark.parametrize("short,long,budget", [(10, 1_000_000, 2_400_000), (10, 10_000_000, 24_000_000), (10, 30_000_000, 72_000_000), (7, 1_000_003, 1_234_567), (300, 2_000_000, 5_000_001), (1, 30_000_000, 29_999_999), (12, 5_000_000, 30_000_000)])
+def test_few_long_documents_leave_room_for_short_ones(short, long, budget):
+    """Two lengths against the best sum there is, for every number of long documents."""
+    import numpy as np
+    from wirelake.llm import mixing
+
+    places = 900_000 if short < 100 else 30_000
+    places *= max(1, budget // (short * places * 2))
+    lengths, counts = np.array([short, long]), np.array([places, 3])
+    take = mixing.fit(budget, lengths, counts)
+    assert (take >= 0).all() and (take <= counts).all()
+    best = min(abs(budget - j * long - min(places, max(0, round((budget - j * long) / short))) * short) for j in range(4))
+    assert abs(int(take @ lengths) - budget) <= best + short
+
+
+def test_knapsack_at_a_million_words_against_all_sums():
+    import numpy as np
+    from wirelake.llm import mixing
+
+    r = np.random.default_rng(8)
+    for _ in range(5):
+        lengths = np.unique(np.concatenate([r.integers(1, 3000, 40), r.integers(50_000, 400_000, 6)]))
+        counts = r.integers(1, 5, len(lengths)) * 3
+        total = int(lengths @ counts)
+        reached = 1
+        for n, k in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(k):
+                reached |= reached << n
+        for budget in (1_000_000, total // 3, total - 777):
+            best = next(d for d in range(total) if reached >> (budget - d) & 1 or reached >> (budget + d) & 1)
+            take = mixing.fit(budget, lengths, counts)
+            assert (take >= 0).all() and (take <= counts).all() and abs(int(take @ lengths) - budget) <= best + 20
+
+
+def test_mixed_never_swaps_loses_or_multiplies_rows(spark):
+    """Rows of one document that differ in a map, an array or a struct, and nulls beside one another."""
+    from wirelake.llm import mixing
+
+    rows = [(1, "same text here", "a", {"k": str(i)}, [i, None], (i, None)) for i in range(40)] + [(2, None, None, None, None, None), (2, None, "abc", {}, [], (1, "x")), (2, "abc", None, {}, [], (1, "x")), (2, "", "abc", {}, [], (1, "x")), (None, None, None, None, None, None)]
+    rows += [(3, "twice the same", "b", {"x": "y"}, [1], (1, "y"))] * 2 + [(10 + i, "word " * (i + 1), "c", {}, [], None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,string>, l array<int>, s struct<a:int,b:string>").repartition(3)
+    taken, plan, mixed = {}, mixing.mix(docs).collect(), [tuple(map(repr, r)) for r in mixing.mixed(docs).collect()]
+    for r in plan:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
+    known = [tuple(map(repr, r)) for r in docs.collect()]
+    assert set(mixed) <= set(known) and len(mixed) == sum(taken.values())
+    for d, n in taken.items():
+        assert sum(r[0] == repr(d) for r in mixed) == n
+    same = [mixed.count(r) for r in set(known) if r[0] == "1"]
+    assert max(same) - min(same) <= 1 and sum(same) == taken[1]
