@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import blocked
 from ..operators.summary import percentiles
 
 SECOND = 1_000_000_000
@@ -77,6 +80,26 @@ def scale_rate(df: DataFrame, factor: float) -> DataFrame:
     return made.withColumn("id", F.when(F.col("_copy") == 1, F.col("id")).otherwise(F.concat("id", F.lit("~"), F.col("_copy").cast("string")))).drop("_copy")
 
 
+def scale_rate_by_bucket(df: DataFrame, factor: float, width_ns: int, keys: list[str] = ("capture_id",), cells: int = 4096) -> DataFrame:
+    """As scale_rate, but the part below one is met in each bucket of time, to one row: those with the smallest hashes of their ids.
+
+    Hashes are counted in cells first; only the cell that holds a bucket's last row is ordered, by hash, then id.
+    """
+    keys, whole, part = [*keys, "_bucket"], int(factor), factor - int(factor)
+    h = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = df.withColumns({"_bucket": F.floor(F.col("offset_ns") / width_ns).cast("long"), "_hash": h}).withColumn("_cell", F.expr(f"_hash div {(1 << 32) // cells}"))
+    counts = rows.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    counts = counts.withColumn("_before", F.sum("_n").over(w.orderBy("_cell")) - F.col("_n")).withColumn("_most", F.floor(F.sum("_n").over(w) * part + 0.5))
+    rows = blocked.with_values(rows, counts, [*keys, "_cell"])
+    last = (F.col("_before") < F.col("_most")) & (F.col("_before") + F.col("_n") > F.col("_most"))
+    inside = F.col("_before") + F.col("_n") <= F.col("_most")
+    edge = rows.where(last).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_hash", "id"))).withColumn("_more", (F.col("_before") + F.col("_place") <= F.col("_most")).cast("int")).drop("_place")
+    rows = rows.where(~last).withColumn("_more", inside.cast("int")).unionByName(edge)
+    made = rows.withColumn("_copy", F.explode(F.expr(f"filter(sequence(1, {whole + 1}), i -> i <= {whole} + _more)")))
+    return made.withColumn("id", F.when(F.col("_copy") == 1, F.col("id")).otherwise(F.concat("id", F.lit("~"), F.col("_copy").cast("string")))).select(*df.columns)
+
+
 def agents(buckets: DataFrame, per_agent: float, headroom: float, ahead: int, keys: list[str] = ("capture_id",)) -> DataFrame:
     """Agents that each bucket needs, and the most that the next `ahead` buckets do."""
     need = F.ceil(F.col("n") / per_agent * headroom).cast("long")
@@ -98,10 +121,49 @@ def bucket_accuracy(expected: DataFrame, actual: DataFrame, tolerance: float, ke
 
 
 def bad_runs(buckets: DataFrame, bad: F.Column, least: int, keys: list[str]) -> DataFrame:
-    """Islands of at least `least` consecutive bad buckets."""
-    rows = buckets.where(bad)
-    island = F.col("bucket") - F.row_number().over(Window.partitionBy(*keys).orderBy("bucket"))
-    return rows.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("bucket").alias("first_bucket"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_island")
+    """Islands of at least `least` consecutive bad buckets; found by blocks of buckets, so that a capture isn't one task's."""
+    return blocked.runs(buckets, keys, "bucket", bad).where(F.col("n") >= least).withColumnRenamed("first", "first_bucket")
+
+
+def bucket_metrics(sent: DataFrame, width_ns: int, keys: list[str], width: int = 1_000_000) -> DataFrame:
+    """n, shares of failures and of 5xx, and p99 of the lag of every bucket, of sends with planned_ns, lag_ns, error and status_code."""
+    rows = sent.withColumn("bucket", F.floor(F.col("planned_ns") / width_ns).cast("long"))
+    sums = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), (F.count_if(F.col("error").isNotNull()) / F.count("*")).alias("failed"), (F.count_if(F.col("status_code").between(500, 599)) / F.count("*")).alias("server_errors"))
+    lag = percentiles(rows, [*keys, "bucket"], "lag_ns", (0.99,), width).withColumnRenamed("p99", "p99_lag_ns")
+    return blocked.with_values(sums, lag, [*keys, "bucket"])
+
+
+def bucket_success(expected: DataFrame, metrics: DataFrame, tolerance: float, allowed_lag_ns: int, keys: list[str]) -> DataFrame:
+    """Whether each planned bucket was met: its count to a share of tolerance, and its p99 lag. A bucket of which nothing was sent has no lag."""
+    both = blocked.with_values(expected.select(*keys, "bucket", F.col("n").alias("expected")), metrics.select(*keys, "bucket", "n", "p99_lag_ns"), [*keys, "bucket"])
+    sent = F.coalesce("n", F.lit(0))
+    counted = F.abs(sent - F.col("expected")) / F.greatest("expected", F.lit(1)) <= tolerance
+    lag = F.coalesce(F.col("p99_lag_ns") <= allowed_lag_ns, F.lit(True))
+    return both.select(*keys, "bucket", "expected", sent.alias("actual"), "p99_lag_ns", counted.alias("count_met"), lag.alias("lag_met"))
+
+
+#: When a replay is stopped, unless told otherwise (fixed values): shares, nanoseconds, consecutive buckets, seconds.
+FAILURES, LAG_NS, BUCKETS, SILENCE_S = 0.05, 5 * SECOND, 3, 30
+
+
+def abort_reasons(metrics: DataFrame, keys: list[str], server_errors: float | None = None, failures: float = FAILURES, lag_ns: int = LAG_NS, buckets: int = BUCKETS) -> DataFrame:
+    """keys, rule, first_bucket and n of each stretch of `buckets` or more consecutive buckets that break a rule: failed sends, p99 lag, and, where a share is given, any bucket of 5xx over it."""
+    rules = [("failures", F.col("failed") > failures, buckets), ("lag", F.col("p99_lag_ns") > lag_ns, buckets)]
+    if server_errors is not None:
+        rules.append(("server errors", F.col("server_errors") > server_errors, 1))
+    broken = F.filter(F.array(*[F.when(bad, name) for name, bad, _ in rules]), lambda x: x.isNotNull())
+    rows = metrics.select(*keys, "bucket", F.explode(broken).alias("rule"))
+    least = reduce(lambda c, x: c.when(F.col("rule") == x[0], x[2]), rules[1:], F.when(F.col("rule") == rules[0][0], rules[0][2]))
+    return blocked.runs(rows, [*keys, "rule"], "bucket", F.lit(True)).where(F.col("n") >= least).withColumnRenamed("first", "first_bucket")
+
+
+def silent_leases(heartbeats: DataFrame, asof: F.Column, keys: list[str], seconds: int = SILENCE_S, block_s: int = 3600) -> DataFrame:
+    """keys, from and silent_s of every time without a heartbeat (ts) for more than `seconds`, the one up to asof too."""
+    us = heartbeats.select(*keys, F.unix_micros("ts").alias("us"))
+    gaps = blocked.previous(us, keys, "us", "us", block_s * 1_000_000, name="_from").select(*keys, F.col("_from").alias("from_us"), F.col("us").alias("to_us"))
+    last = us.groupBy(*keys).agg(F.max("us").alias("from_us")).withColumn("to_us", F.unix_micros(asof))
+    over = (F.col("to_us") - F.col("from_us")) / 1e6
+    return gaps.unionByName(last).where(over > seconds).select(*keys, "from_us", over.alias("silent_s"))
 
 
 def sequence_gaps(objects: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import policy as D
 from ..sources.adapters import CAPTURED, RESULTS, captured, results, table
+from ..sources import bundles as files
 from ..sources.shared import fresh_path
 from . import prepare as N
 from .registry import query
@@ -85,6 +86,21 @@ def rate_scaled_up(spark, sf_dir) -> DataFrame:
     return N.scale_rate(captured(spark, sf_dir).select("id"), 2.5)
 
 
+PLACE = "placed as (select id, count(*) over (partition by capture_id, offset_ns // 86400000000000) n, row_number() over (partition by capture_id, offset_ns // 86400000000000 order by ('0x' || substr(md5(id), 1, 8))::bigint, id) place from normal)"
+
+
+@query(", " + PLACE + " select id from placed where place <= floor(n * 0.3::double + 0.5)", CAPTURED, NORMAL)
+def bucket_scaled_down(spark, sf_dir) -> DataFrame:
+    """Three tenths of each capture's day, to one row: the smallest hashes."""
+    return N.scale_rate_by_bucket(normal(spark, sf_dir), 0.3, 24 * HOUR).select("id")
+
+
+@query(", " + PLACE + " select case when k = 1 then id else id || '~' || k end id from (select id, unnest(range(1, 2 + (place <= floor(n * 0.25::double + 0.5))::int)) k from placed)", CAPTURED, NORMAL)
+def bucket_scaled_up(spark, sf_dir) -> DataFrame:
+    """All of each capture's day and another quarter of it."""
+    return N.scale_rate_by_bucket(normal(spark, sf_dir), 1.25, 24 * HOUR).select("id")
+
+
 @query(", a as (select *, ceil(n / 0.7 * 1.2)::bigint agents from buckets) select capture_id, bucket, agents, max(agents) over (partition by capture_id order by bucket range between current row and 5 following) ahead from a", CAPTURED, NORMAL, BUCKETS)
 def planned_agents(spark, sf_dir) -> DataFrame:
     return N.agents(buckets(spark, sf_dir), 0.7, 1.2, 5).select("capture_id", "bucket", "agents", "ahead")
@@ -180,3 +196,56 @@ def failing_bucket_runs(spark, sf_dir) -> DataFrame:
     df = normal(spark, sf_dir).select("id", "capture_id", F.floor(F.col("offset_ns") / HOUR).cast("long").alias("bucket")).join(r, "id")
     rate = df.groupBy("capture_id", "bucket").agg((F.count("error") * 100.0 / F.count("*")).alias("percent"))
     return N.bad_runs(rate, F.col("percent") > 5, 3, ["capture_id"])
+
+
+SENT = f"sent as (select capture_id, (offset_ns // {HOUR})::bigint bucket, duration_ns lag_ns, error, status_code from normal join results on id = request_id)"
+METRICS = "metrics as (select capture_id, bucket, count(*) n, count(error) / count(*) failed, count(*) filter (where status_code between 500 and 599) / count(*) server_errors, list_sort(list(lag_ns))[cast(floor((count(*) - 1) * 0.99::double) as int) + 1] p99_lag_ns from sent group by all)"
+RUN = "select capture_id, '{0}' as rule, min(bucket) first_bucket, count(*) n from (select *, bucket - row_number() over (partition by capture_id order by bucket) island from metrics where {1}) group by capture_id, island having count(*) >= {2}"
+
+
+def sent(spark, sf_dir) -> DataFrame:
+    """What was sent of the captures, with the time that it took as its lag."""
+    r = results(spark, sf_dir).select(F.col("request_id").alias("id"), "status_code", "error", F.col("duration_ns").alias("lag_ns"))
+    return normal(spark, sf_dir).select("id", "capture_id", F.col("offset_ns").alias("planned_ns")).join(r, "id")
+
+
+def metrics(spark, sf_dir) -> DataFrame:
+    return N.bucket_metrics(sent(spark, sf_dir), HOUR, ["capture_id"])
+
+
+@query(", " + SENT + ", " + METRICS + " select capture_id, bucket, b.n expected, coalesce(m.n, 0) actual, p99_lag_ns, abs(coalesce(m.n, 0) - b.n) / greatest(b.n, 1) <= 0.1 count_met, coalesce(p99_lag_ns <= 150000000, true) lag_met from buckets b left join metrics m using (capture_id, bucket)", CAPTURED, RESULTS, NORMAL, BUCKETS)
+def bucket_success(spark, sf_dir) -> DataFrame:
+    """Buckets whose count and p99 lag were met."""
+    return N.bucket_success(buckets(spark, sf_dir), metrics(spark, sf_dir), 0.1, 150_000_000, ["capture_id"])
+
+
+@query(", " + SENT + ", " + METRICS + " " + RUN.format("failures", "failed > 0.05", 2) + " union all " + RUN.format("lag", "p99_lag_ns > 100000000", 2) + " union all " + RUN.format("server errors", "server_errors > 0.5", 1), CAPTURED, RESULTS, NORMAL)
+def abort_rules(spark, sf_dir) -> DataFrame:
+    """Stretches of buckets for which a replay is stopped: failed sends, p99 lag, 5xx."""
+    return N.abort_reasons(metrics(spark, sf_dir), ["capture_id"], 0.5, 0.05, 100_000_000, 2)
+
+
+@query("select event_type as lease, epoch_us(a) from_us, (epoch_us(b) - epoch_us(a)) / 1e6 silent_s from (select event_type, lag(ts) over (partition by event_type order by ts) a, ts b from events union all select event_type, max(ts), timestamp '2024-03-01' from events group by 1) where epoch_us(b) - epoch_us(a) > 1800 * 1000000::bigint")
+def silent_leases(spark, sf_dir) -> DataFrame:
+    """Half hours and more without a heartbeat of a lease."""
+    h = table(spark, sf_dir, "events").select(F.col("event_type").alias("lease"), F.col("ts").cast("timestamp").alias("ts"))
+    return N.silent_leases(h, F.lit("2024-03-01").cast("timestamp"), ["lease"], 1800)
+
+
+@query(f"select capture_id, (offset_ns // {HOUR})::bigint bucket, count(*) n, ceil(count(*) / 3.0 * 1.2)::bigint required_agents, count(*)::bigint in_bundles, true as whole from normal group by 1, 2", CAPTURED, NORMAL)
+def bundle_files(spark, sf_dir) -> DataFrame:
+    """Bundles as files of two days' records at most: the index of buckets, and if each bundle is within its bounds and as its digest says."""
+    root = fresh_path(spark, "bundles")
+    files.write_bundles(normal(spark, sf_dir).drop("body", "headers"), root, 4_000, 5_000, 48 * HOUR, HOUR, 3.0, 1.2)
+    faults = files.bundle_faults(spark, root).select("bundle_id").union(files.read_index(spark, root).where("bytes > 5000 or n < 1 or last_ns < first_ns").select("bundle_id")).distinct()
+    parts = files.read_buckets(spark, root).select("capture_id", "bucket", "n", "required_agents", F.explode("bundles").alias("b"))
+    parts = parts.join(faults.withColumn("faulty", F.lit(True)), F.col("b.bundle_id") == F.col("bundle_id"), "left")
+    return parts.groupBy("capture_id", "bucket", "n", "required_agents").agg(F.sum("b.n").alias("in_bundles"), (F.count("faulty") == 0).alias("whole"))
+
+
+@query(f"select id, offset_ns, route_key from (select id, capture_id, offset_ns, method || ' ' || path route_key from normal) where capture_id = 'ns1/cap3' and offset_ns // {HOUR} between 24 and 240", CAPTURED, NORMAL)
+def bundle_lookup(spark, sf_dir) -> DataFrame:
+    """A lease's records by the index of buckets: no other bundle is opened."""
+    root = fresh_path(spark, "bundles")
+    files.write_bundles(normal(spark, sf_dir).select("id", "capture_id", "offset_ns", "route_key"), root, 4_000, 8_000, 24 * HOUR, HOUR)
+    return files.read_records(spark, root, "id string, offset_ns long, route_key string", "ns1/cap3", 24, 240, HOUR)
