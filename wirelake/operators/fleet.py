@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,25 @@ def phase_counts(df: DataFrame, phases: list[str], keys: list[str] = ()) -> Data
     return df.groupBy(*keys).agg(*[F.count_if(F.col("phase") == p).alias(p.lower()) for p in phases])
 
 
+#: Phases that each kind of entity is counted by (fixed values).
+PHASES = {"capture": ("ACTIVE", "COMPLETED", "PENDING", "FAILED"), "replay": ("RUNNING", "COMPLETED", "FAILED"), "storage": ("READY", "ERROR"), "spoke": ("HEALTHY", "DEGRADED", "DISCONNECTED")}
+
+
+def entity_phases(entities: dict[str, DataFrame]) -> DataFrame:
+    """kind, phase and n of tables with a phase, by their kind: each known phase, zero where nothing is in it, and others that occur."""
+    spark = next(iter(entities.values())).sparkSession
+    known = spark.createDataFrame([(k, p) for k in entities for p in PHASES[k]], "kind string, phase string")
+    counts = reduce(DataFrame.unionByName, [df.groupBy(F.lit(k).alias("kind"), "phase").agg(F.count("*").alias("n")) for k, df in entities.items()])
+    return known.withColumn("n", F.lit(0).cast("long")).unionByName(counts).groupBy("kind", "phase").agg(F.sum("n").alias("n"))
+
+
+def spoke_health(spokes: DataFrame, heartbeats: DataFrame, asof: Column, live_s: int = LIVE_SECONDS, degraded: Column | None = None) -> DataFrame:
+    """spoke_id and phase: disconnected without a heartbeat in live_s seconds, degraded where that says so of the last one, else healthy."""
+    last = liveness(heartbeats, asof, live_s)
+    phase = F.when(~F.coalesce("connected", F.lit(False)), "DISCONNECTED").when(degraded if degraded is not None else F.lit(False), "DEGRADED").otherwise("HEALTHY")
+    return spokes.select("spoke_id").join(last, "spoke_id", "left").select("spoke_id", phase.alias("phase"))
+
+
 def upsert_captures(old: DataFrame, new: DataFrame) -> DataFrame:
     """The catalog after new rows: the start that was known first stays, the end that came last counts."""
     new = latest(new.where(F.trim("id") != ""), ["id"], "updated_at", "status")
@@ -204,10 +225,11 @@ def used_by(storages: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def progress(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters of runs so far, with the last request in order and the time that passed."""
-    ok = F.col("error").isNull()
+    """Counters of runs so far, with the last request in order and the time that passed. Rows whose `filtered` is true, where there is one, were not sent."""
+    filtered = F.coalesce(F.col("filtered"), F.lit(False)) if "filtered" in results.columns else F.lit(False)
+    ok = F.col("error").isNull() & ~filtered
     micros = F.unix_micros("timestamp")
     return results.groupBy(*keys).agg(
-        F.count_if(ok).alias("sent"), F.count_if(~ok).alias("errored"), F.coalesce(F.sum("response_bytes"), F.lit(0)).alias("bytes"), F.max_by("request_id", "seq").alias("last_request_id"),
+        F.count_if(ok).alias("sent"), F.count_if(~ok & ~filtered).alias("errored"), F.count_if(filtered).alias("filtered"), F.coalesce(F.sum("response_bytes"), F.lit(0)).alias("bytes"), F.max_by("request_id", "seq").alias("last_request_id"),
         ((F.max(micros) - F.min(micros)) * 1000).alias("elapsed_ns"),
     )

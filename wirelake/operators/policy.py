@@ -13,13 +13,14 @@ VERSION = 1
 
 
 def manifest_faults(manifests: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("capture_id", "shard_index")) -> DataFrame:
-    """Versions that aren't known, counts below zero or unlike the data's; digests unlike the data's where both have sha256."""
+    """Versions that aren't known, counts below zero or unlike the data's; digests and source captures unlike the data's where both tables have them."""
     keys = list(keys)
-    both = manifests.join(counts.withColumnsRenamed({"n": "_n", "sha256": "_sha256"}), keys, "left")
+    both = manifests.join(counts.withColumnsRenamed({"n": "_n", "sha256": "_sha256", "source_capture_id": "_source"}), keys, "left")
+    source = ~F.col("source_capture_id").eqNullSafe(F.col("_source")) if "source_capture_id" in manifests.columns and "source_capture_id" in counts.columns else F.lit(False)
     digest = F.col("sha256") != F.col("_sha256") if "sha256" in manifests.columns and "sha256" in counts.columns else F.lit(False)
     v, n = F.col("format_version"), F.col("record_count")
     faults = F.filter(
-        F.array(F.when(v > VERSION, "unsupported version"), F.when(v <= 0, "bad version"), F.when(n < 0, "negative count"), F.when(n != F.coalesce("_n", F.lit(0)), "record count differs"), F.when(digest, "sha256 differs")),
+        F.array(F.when(v > VERSION, "unsupported version"), F.when(v <= 0, "bad version"), F.when(n < 0, "negative count"), F.when(n != F.coalesce("_n", F.lit(0)), "record count differs"), F.when(digest, "sha256 differs"), F.when(source, "source capture differs")),
         lambda x: x.isNotNull(),
     )
     return both.select(*keys, F.explode(faults).alias("fault"))
@@ -71,9 +72,9 @@ def ordered_digest(df: DataFrame, key: str, order: list[str], line: str = "line_
 
 
 def pipeline_faults(steps: DataFrame, rules: DataFrame) -> DataFrame:
-    """All faults of a table of pipelines (pipeline, position, plugin) against constraints of plugins.
+    """All faults of a table of pipelines (pipeline, position, plugin and maybe config, a map) against constraints of plugins.
 
-    unknown plugins; conflicts, which hold both ways and are told once; plugins that stand after one they must
+    unknown plugins; what config_faults finds, where steps and rules have a config; conflicts, which hold both ways and are told once; plugins that stand after one they must
     go before, or before one they must follow; resources that one plugin wants for itself.
     """
     known = steps.join(rules, "plugin", "left")
@@ -88,4 +89,28 @@ def pipeline_faults(steps: DataFrame, rules: DataFrame) -> DataFrame:
     order = pairs.where(wrong).select("pipeline", F.lit("order").alias("kind"), F.concat_ws(" before ", "a_plugin", "b_plugin").alias("detail"))
     shared = F.filter("a_resources", lambda r: F.exists("b_resources", lambda s: (s["name"] == r["name"]) & ((s["access"] == "exclusive") | (r["access"] == "exclusive"))))
     resource = pairs.where(F.col("a_plugin") != F.col("b_plugin")).select("pipeline", couple.alias("c"), F.explode(shared).alias("r")).select("pipeline", F.lit("resource").alias("kind"), F.concat_ws(" ", "c", "r.name").alias("detail"))
-    return unknown.unionByName(conflict).unionByName(order).unionByName(resource).distinct()
+    found = unknown.unionByName(conflict).unionByName(order).unionByName(resource)
+    if "config" in steps.columns and "settings" in rules.columns:
+        found = found.unionByName(config_faults(steps, rules))
+    return found.distinct()
+
+
+def config_faults(steps: DataFrame, rules: DataFrame) -> DataFrame:
+    """Faults of the steps' config by the settings that their plugins know (name, kind, required, allowed, least, most).
+
+    A setting that is missing, that no rule knows, that isn't of its kind (text, number, whole number, flag or duration), that isn't among the
+    allowed texts, or that is out of bounds. A plugin without rules of settings takes any.
+    """
+    from ..functions.exprs import duration_ns
+
+    known = steps.join(rules.where("settings is not null").select("plugin", "settings"), "plugin").withColumn("config", F.coalesce("config", F.create_map().cast("map<string,string>")))
+    each = known.select("pipeline", "plugin", "config", F.explode("settings").alias("s")).withColumn("value", F.try_element_at("config", F.col("s.name")))
+    value, kind = F.col("value"), F.col("s.kind")
+    number = F.when(kind == "duration", duration_ns("value") / 1e9).otherwise(value.try_cast("double"))
+    whole = value.rlike(r"^\s*[-+]?\d+\s*$")
+    bad_kind = F.when(kind == "number", number.isNull()).when(kind == "whole number", ~whole).when(kind == "flag", ~F.lower(value).isin("true", "false")).when(kind == "duration", number.isNull()).otherwise(F.lit(False))
+    fault = F.when(value.isNull(), F.when(F.col("s.required"), "is missing")).when(bad_kind, F.concat(F.lit("is no "), kind)).when(~F.array_contains("s.allowed", value), "is not allowed").when((number < F.col("s.least")) | (number > F.col("s.most")), "is out of bounds")
+    wrong = each.select("pipeline", "plugin", F.col("s.name").alias("name"), fault.alias("fault")).where("fault is not null")
+    names = F.transform("settings", lambda x: x["name"])
+    extra = known.select("pipeline", "plugin", F.explode(F.array_except(F.map_keys("config"), names)).alias("name"), F.lit("is not known").alias("fault"))
+    return wrong.unionByName(extra).select("pipeline", F.lit("config").alias("kind"), F.concat_ws(" ", "plugin", "name", "fault").alias("detail"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..schemas import REPORT
+from ..sources.shared import checkpoint
 
 PERCENTILES = (0.5, 0.95, 0.99)
 schemas_of_report = [c.split()[0] for c in REPORT.split(", ")]
@@ -20,14 +21,22 @@ def label(p: float) -> str:
     return f"p{p * 100:g}".replace(".", "_")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = PERCENTILES, width: int = 1_000_000) -> DataFrame:
+def counted_values(df: DataFrame, keys: list[str], value: str, **others: Column) -> DataFrame:
+    """A row for each value of each group: n, its rows, and other aggregates of them; computed once and kept.
+
+    Totals and percentiles of a group all follow from it, so that what df is made of, a join for instance, is planned once.
+    """
+    return checkpoint(df.groupBy(*keys, value).agg(F.count("*").alias("n"), *(c.alias(x) for x, c in others.items())))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = PERCENTILES, width: int = 1_000_000, weight: str | None = None) -> DataFrame:
     """keys and, for each p, the value at place floor((n - 1) * p) of the sorted values (the lower rank, not interpolated).
 
     Values are counted in buckets of `width` first; only the buckets that hold a wanted place are then counted by
-    value. No group is ever sorted in one task: a bucket table has at most range / width rows a key.
+    value. No group is ever sorted in one task: a bucket table has at most range / width rows a key. A weight says how many rows a row stands for.
     """
-    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), F.floor(F.col(value) / width).alias("b"))
-    hist = df.groupBy(*keys, "b").agg(F.count("*").alias("n"))
+    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), F.floor(F.col(value) / width).alias("b"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    hist = df.groupBy(*keys, "b").agg(F.sum("w").alias("n"))
     in_order = Window.partitionBy(*keys).orderBy("b")
     hist = hist.select(*keys, "b", "n", F.sum("n").over(in_order).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
     place = F.floor((F.col("total") - 1).cast("double") * F.col("p")).cast("long")
@@ -36,7 +45,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...
     same = df.b == wanted["_b"]
     for k in keys:
         same = same & df[k].eqNullSafe(wanted[f"_{k}"])
-    values = df.join(wanted, same).groupBy(*keys, "p", "place", "v").agg(F.count("*").alias("n"))
+    values = df.join(wanted, same).groupBy(*keys, "p", "place", "v").agg(F.sum("w").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*keys, "p").orderBy("v"))
     found = values.withColumn("upto", upto).where("upto > place").groupBy(*keys, "p").agg(F.min("v").alias("v"))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(label(p)) for p in ps])
@@ -46,14 +55,16 @@ def summarize(results: DataFrame, keys: list[str] = (), ps: tuple[float, ...] =
     """Totals, mean and percentiles of each group. A result without an error is a success, whatever its status."""
     keys = list(keys)
     ok = F.col("error").isNull()
-    span = (X.micros(F.max("timestamp")) - X.micros(F.min("timestamp"))) * 1000
+    results = counted_values(results, keys, "duration_ns", ok=F.count_if(ok), first=F.min("timestamp"), last=F.max("timestamp"), bytes=F.sum("response_bytes"))
+    span = (X.micros(F.max("last")) - X.micros(F.min("first"))) * 1000
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     totals = results.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("errors"), F.coalesce(span, F.lit(0)).cast("long").alias("duration_ns"),
-        F.coalesce(F.expr("sum(duration_ns) div count(duration_ns)"), F.lit(0)).cast("long").alias("mean_ns"), F.coalesce(F.sum("response_bytes"), F.lit(0)).alias("bytes"),
+        zero(F.sum("n")).alias("total"), zero(F.sum("ok")).alias("success"), zero(F.sum(F.col("n") - F.col("ok"))).alias("errors"), zero(span).alias("duration_ns"),
+        zero(F.expr("sum(duration_ns * n) div sum(n) filter (where duration_ns is not null)")).alias("mean_ns"), zero(F.sum("bytes")).alias("bytes"),
     )
     # Without keys, one row each is joined.
     tag = keys or ["_all"]
-    at = percentiles(results if keys else results.withColumn("_all", F.lit(1)), tag, "duration_ns", ps)
+    at = percentiles(results if keys else results.withColumn("_all", F.lit(1)), tag, "duration_ns", ps, weight="n")
     at = at.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(tag)], *[label(p) for p in ps])
     totals = totals if keys else totals.withColumn("_all", F.lit(1))
     same = F.lit(True)
@@ -92,13 +103,15 @@ def apply_report(reports: DataFrame) -> DataFrame:
 def engine_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     """Totals over all results, rate of the successes over the time they all took, latencies of successes alone, in cut milliseconds."""
     ok = F.col("error").isNull()
-    seconds = (X.micros(F.max("timestamp")) - X.micros(F.min("timestamp"))) / 1e6
+    results = counted_values(results.withColumn("_ok", ok), [*keys, "_ok"], "duration_ns", first=F.min("timestamp"), last=F.max("timestamp"))
+    ok, sent = F.col("_ok"), F.coalesce(F.sum(F.when(F.col("_ok"), F.col("n"))), F.lit(0))
+    seconds = (X.micros(F.max("last")) - X.micros(F.min("first"))) / 1e6
     ms = lambda c: F.coalesce(F.expr(f"{c} div 1000000"), F.lit(0)).cast("long")
     totals = results.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if(ok).alias("sent"), F.count_if(~ok).alias("failed"), F.when(seconds > 0, F.count_if(ok) / seconds).otherwise(0.0).alias("achieved_rps"),
-        F.expr("sum(duration_ns) filter (where error is null) div count(duration_ns) filter (where error is null)").alias("mean_ns"),
+        F.sum("n").alias("total"), sent.alias("sent"), (F.sum("n") - sent).alias("failed"), F.when(seconds > 0, sent / seconds).otherwise(0.0).alias("achieved_rps"),
+        F.expr("sum(duration_ns * n) filter (where _ok) div sum(n) filter (where _ok and duration_ns is not null)").alias("mean_ns"),
     )
-    at = percentiles(results.where(ok), keys, "duration_ns").withColumnsRenamed({k: f"_{k}" for k in keys})
+    at = percentiles(results.where(ok), keys, "duration_ns", weight="n").withColumnsRenamed({k: f"_{k}" for k in keys})
     same = reduce(lambda x, k: x & totals[k].eqNullSafe(at[f"_{k}"]), keys, F.lit(True))
     return totals.join(at, same, "left").select(*keys, "total", "sent", "failed", "achieved_rps", ms("mean_ns").alias("mean_ms"), *[ms(label(p)).alias(f"{label(p)}_ms") for p in PERCENTILES])
 
@@ -159,8 +172,9 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def gates(results: DataFrame, keys: list[str], least_success: float = 0.95, p95_ms: int = 5000, p99_ms: int | None = None) -> DataFrame:
     """Success (200 to 499) above a share and latencies below bounds."""
-    ok = F.count_if((F.col("status_code") >= 200) & (F.col("status_code") < 500)) / F.count("*")
-    out = results.groupBy(*keys).agg(ok.alias("success_rate")).join(percentiles(results, keys, "duration_ns", (0.95, 0.99)), keys)
+    results = counted_values(results, keys, "duration_ns", good=F.count_if((F.col("status_code") >= 200) & (F.col("status_code") < 500)))
+    rate = (F.sum("good") / F.sum("n")).alias("success_rate")
+    out = results.groupBy(*keys).agg(rate).join(percentiles(results, keys, "duration_ns", (0.95, 0.99), weight="n"), keys)
     passed = (F.col("success_rate") > least_success) & (F.col("p95") < p95_ms * 1_000_000)
     if p99_ms:
         passed = passed & (F.col("p99") < p99_ms * 1_000_000)

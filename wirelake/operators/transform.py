@@ -57,6 +57,15 @@ def script_outbound(df: DataFrame, base: str) -> DataFrame:
     return df.select("id", method.alias("method"), X.join_url(F.lit(base), "path").alias("url"), F.transform_values(kept, lambda _, v: F.try_element_at(v, F.lit(1))).alias("headers"), body.alias("body"))
 
 
+def joined_outbound(df: DataFrame, base: str) -> DataFrame:
+    """As the script adapter sends them: all values of a header in one, joined by a comma, but for Host; GET and the root where nothing is said."""
+    kept = F.map_filter("headers", lambda k, _: F.lower(k) != "host")
+    marks = F.create_map(F.lit("X-Replay"), F.lit("true"), F.lit("X-Request-Id"), F.coalesce("id", F.lit("")))
+    headers = F.map_concat(F.map_filter(F.transform_values(kept, lambda _, v: F.array_join(v, ", ")), lambda k, _: ~k.isin("X-Replay", "X-Request-Id")), marks)
+    path = F.coalesce(F.nullif("path", F.lit("")), F.lit("/"))
+    return df.select("id", F.coalesce(F.nullif("method", F.lit("")), F.lit("GET")).alias("method"), F.concat(F.lit(base), path).alias("url"), headers.alias("headers"), F.when(F.octet_length("body") > 0, F.col("body")).alias("body"))
+
+
 #: Transforms by name, for jobs that are put together from configuration.
 REGISTRY: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {}
 

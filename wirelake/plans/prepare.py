@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import blocked
-from ..operators.summary import percentiles
+from ..operators.summary import counted_values, percentiles
 
 SECOND = 1_000_000_000
 
@@ -128,8 +128,9 @@ def bad_runs(buckets: DataFrame, bad: F.Column, least: int, keys: list[str]) ->
 def bucket_metrics(sent: DataFrame, width_ns: int, keys: list[str], width: int = 1_000_000) -> DataFrame:
     """n, shares of failures and of 5xx, and p99 of the lag of every bucket, of sends with planned_ns, lag_ns, error and status_code."""
     rows = sent.withColumn("bucket", F.floor(F.col("planned_ns") / width_ns).cast("long"))
-    sums = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), (F.count_if(F.col("error").isNotNull()) / F.count("*")).alias("failed"), (F.count_if(F.col("status_code").between(500, 599)) / F.count("*")).alias("server_errors"))
-    lag = percentiles(rows, [*keys, "bucket"], "lag_ns", (0.99,), width).withColumnRenamed("p99", "p99_lag_ns")
+    rows = counted_values(rows, [*keys, "bucket"], "lag_ns", failed=F.count_if(F.col("error").isNotNull()), server_errors=F.count_if(F.col("status_code").between(500, 599)))
+    sums = rows.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), *((F.sum(c) / F.sum("n")).alias(c) for c in ("failed", "server_errors")))
+    lag = percentiles(rows, [*keys, "bucket"], "lag_ns", (0.99,), width, "n").withColumnRenamed("p99", "p99_lag_ns")
     return blocked.with_values(sums, lag, [*keys, "bucket"])
 
 
@@ -190,6 +191,21 @@ def dataset_faults(df: DataFrame, target_host: str | None = None) -> DataFrame:
     return df.select("id", F.explode(found).alias("fault"))
 
 
+def size_report(index: DataFrame, rates: DataFrame, window_s: float, agents: int, least_bytes: int = 64 << 20, keys: list[str] = ("capture_id",)) -> DataFrame:
+    """Objects, bytes, compression ratio and the memory that an agent needs to read ahead: window times its part of the peak rate (`peak` in rates, a second) times the average record."""
+    sums = index.groupBy(*keys).agg(F.count("*").alias("objects"), F.sum("n").alias("records"), F.sum("bytes").alias("bytes"), F.sum("compressed_bytes").alias("compressed_bytes"))
+    both = sums.join(rates.select(*keys, "peak"), list(keys), "left")
+    ahead = F.ceil(window_s * F.col("peak") / agents * F.col("bytes") / F.col("records")).cast("long")
+    return both.select(*keys, "objects", "records", "bytes", "compressed_bytes", (F.col("bytes") / F.col("compressed_bytes")).alias("ratio"), F.greatest(ahead, F.lit(least_bytes)).alias("prefetch_bytes"))
+
+
+def bound_faults(totals: DataFrame, most_requests: int | None = None, most_ns: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """Runs (n, duration_ns, bytes and their keys) that are over a bound that is set."""
+    checks = [("too many requests", F.col("n") > most_requests if most_requests else F.lit(False)), ("too long", F.col("duration_ns") > most_ns if most_ns else F.lit(False)), ("too many bytes", F.col("bytes") > most_bytes if most_bytes else F.lit(False))]
+    faults = F.filter(F.array(*[F.when(c, name) for name, c in checks]), lambda x: x.isNotNull())
+    return totals.select(*[c for c in totals.columns if c not in ("n", "duration_ns", "bytes")], F.explode(faults).alias("fault"))
+
+
 def retained_bytes(df: DataFrame, keys: list[str], selected: F.Column, control: int = 1024) -> DataFrame:
     """Bytes kept if whole connections are kept, or only the selected exchanges and a control record of each."""
     whole, kept = F.sum(F.col("bytes") + control), F.sum(F.when(selected, F.col("bytes")).otherwise(0) + control)
@@ -217,8 +233,9 @@ def read_time_sorted(spark: SparkSession, path: str) -> DataFrame:
 
 def bucket_health(df: DataFrame, keys: list[str], width: int = 1_000_000) -> DataFrame:
     """Share of errors and lag percentiles of each group of results with a lag_ns."""
-    sums = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.count_if(F.col("error").isNotNull()) * 100.0 / F.count("*")).alias("error_percent"))
-    lag = percentiles(df, keys, "lag_ns", width=width)
+    df = counted_values(df, keys, "lag_ns", failed=F.count_if(F.col("error").isNotNull()))
+    sums = df.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("failed") * 100.0 / F.sum("n")).alias("error_percent"))
+    lag = percentiles(df, keys, "lag_ns", width=width, weight="n")
     same = F.lit(True)
     renamed = lag.select(*[F.col(k).alias(f"_{k}") for k in keys], "p50", "p95", "p99")
     for k in keys:

@@ -182,7 +182,7 @@ def handled_results(spark, sf_dir) -> DataFrame:
     return A.handled(results(spark, sf_dir).select("run_id", "duration_ns"), ["run_id"], part, "run_id string, least long, most long, n long", whole, "run_id string, spread_ns long, n long")
 
 
-@query("select run_id, count(*) filter (where error is null) sent, count(error) errored, sum(response_bytes)::bigint bytes, arg_max(request_id, seq) last_request_id, (max(ts_us) - min(ts_us)) * 1000 elapsed_ns from results group by 1", RESULTS)
+@query("select run_id, count(*) filter (where error is null) sent, count(error) errored, 0::bigint filtered, sum(response_bytes)::bigint bytes, arg_max(request_id, seq) last_request_id, (max(ts_us) - min(ts_us)) * 1000 elapsed_ns from results group by 1", RESULTS)
 def progress_table(spark, sf_dir) -> DataFrame:
     from ..operators.fleet import progress
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -17,3 +17,9 @@ def fresh_path(spark: SparkSession, what: str) -> str:
         root = tempfile.mkdtemp(prefix="wirelake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    fresh_path(df.sparkSession, "checkpoint")  # where none is named, it names one
+    return df.checkpoint()
