@@ -194,3 +194,27 @@ def test_artifacts_without_a_time_are_of_now(spark):
     old = spark.createDataFrame([("c", "b", "k", 1, "", BASE)], kind)
     got = L.record_artifacts(old, spark.createDataFrame([("c", "b", "k", 2, None, None), ("c", "b", "k2", 3, "gcs", None)], kind)).collect()
     assert {(r.s3_key, r.size_bytes, r.storage_backend) for r in got} == {("k", 2, "s3"), ("k2", 3, "gcs")} and all(r.created_at > BASE for r in got)
+
+
+def test_schedules_in_blocks_of_objects(spark):
+    """A capture that isn't sharded, over objects of a few rows each: gaps, offsets, places and batches as over the whole order."""
+    from wirelake.plans import schedule as W
+
+    r, rows, t = random.Random(9), [], 0
+    for o in range(40):
+        for n in range(r.choice([0, 1, 1, 2, 9])):
+            t += r.randrange(-2, 9)
+            rows.append(("one", f"k{o:03d}", n, BASE + dt.timedelta(seconds=t) if r.random() < 0.95 else None))
+    df = spark.createDataFrame(rows, "shard string, object_key string, line int, timestamp timestamp").repartition(6)
+    got = {(x.object_key, x.line): x for x in W.batches(W.constant_rate(W.original_timing(W.source_offsets(df), 2.0).withColumnRenamed("send_offset_ns", "as_recorded"), 4.0), 7).collect()}
+    at, offset, first = None, 0, next(x[3] for x in rows if x[3])
+    for i, (_, o, n, ts) in enumerate(rows):
+        gap = round((ts - at).total_seconds()) * 10**9 if ts and at else 0
+        offset += max(gap, 0) * 2
+        x = got[o, n]
+        assert (x.gap_ns, x.as_recorded, x.send_offset_ns, x.batch) == (gap, offset, (i + 1) * 250_000_000, i // 7)
+        assert x.source_offset_ns == (round((ts - first).total_seconds()) * 10**9 if ts else None)
+        at = ts
+    plan = W.original_timing(df)._jdf.queryExecution().optimizedPlan().toString()
+    big = [x for x in plan.splitlines() if x.strip(" :+-").startswith("Window") and "line#" in x]
+    assert big and all("_block" in x for x in big)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _block(df: DataFrame, at: str, width: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(at) / width).cast("long"))
+def _block(df: DataFrame, at: str, width: int | None, block: Column | None = None) -> DataFrame:
+    """Blocks of `width` of a whole number, or those of a column that orders rows before `at` does, such as an object's key."""
+    return df.withColumn("_block", F.floor(F.col(at) / width).cast("long") if block is None else block)
 
 
 def with_values(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,12 +27,12 @@ def _order(at: str, ties: list[str], desc: bool) -> list[Column]:
     return [F.desc(at) if desc else F.asc(at), *map(F.col, ties)]
 
 
-def running_sum(df: DataFrame, keys: list[str], at: str, value: str, width: int, ties: list[str] = (), name: str = "upto", desc: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], at: str, value: str, width: int | None = None, ties: list[str] = (), name: str = "upto", desc: bool = False, block: Column | None = None) -> DataFrame:
     """Sum of value over a series' rows up to each one, in order of `at` (a whole number, from its end if desc), then ties.
 
-    Blocks are `width` of `at`; their sums are added up first.
+    Blocks are `width` of `at`, or a column's; their sums are added up first.
     """
-    rows = _block(df, at, width)
+    rows = _block(df, at, width, block)
     sums = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy(F.desc("_block") if desc else F.asc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -39,9 +40,9 @@ def running_sum(df: DataFrame, keys: list[str], at: str, value: str, width: int,
     return with_values(rows, sums, [*keys, "_block"]).withColumn(name, F.sum(value).over(within) + F.col("_before")).drop("_block", "_before")
 
 
-def previous(df: DataFrame, keys: list[str], at: str, value: str, width: int, ties: list[str] = (), name: str = "before") -> DataFrame:
+def previous(df: DataFrame, keys: list[str], at: str, value: str, width: int | None = None, ties: list[str] = (), name: str = "before", block: Column | None = None) -> DataFrame:
     """value of the row before each one of its series, in order of `at`, then ties; a block's first row gets that of the last block before it with rows."""
-    rows = _block(df, at, width)
+    rows = _block(df, at, width, block)
     last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(at, *ties)).alias("_last"))
     last = last.select(*keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_last"))
     within = Window.partitionBy(*keys, "_block").orderBy(*_order(at, list(ties), False))

@@ -109,7 +109,7 @@ def split_rate(total: Column, shards: Column, index: Column) -> Column:
 
 
 def should_abort(policy: str = "policy") -> Column:
-    """Reason to stop a load test, or null. The time limit goes before the error rate."""
+    """Reason to stop a load test, or null. The time limit goes before the error rate. Both texts are fixed values."""
     p = lambda c: F.col(f"{policy}.{c}")
     tried = F.col("sent") + F.col("failed")
     rate = F.col("failed") * 100 / tried

@@ -8,30 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import blocked
 
+#: Read order: the first column is an object's key, the others order an object's rows. Objects are the blocks in which a shard is scheduled, so
+#: that a shard, or a capture that isn't sharded, is as many tasks' work as it has objects.
 ORDER = ("object_key", "line")
 
 
-def _in_shard(keys: list[str], order: tuple[str, ...]) -> Window:
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def gaps(df: DataFrame, keys: list[str] = ("shard",), order: tuple[str, ...] = ORDER) -> DataFrame:
     """Nanoseconds since the row before, in read order; the first row's gap is 0. Negative gaps are kept."""
-    ns = X.micros("timestamp") * 1000
-    return df.withColumn("gap_ns", F.coalesce(ns - F.lag(ns).over(_in_shard(list(keys), order)), F.lit(0)))
+    rows = df.withColumn("_ns", X.micros("timestamp") * 1000)
+    rows = blocked.previous(rows, list(keys), order[1], "_ns", ties=order[2:], name="_before", block=F.col(order[0]))
+    return rows.withColumn("gap_ns", F.coalesce(F.col("_ns") - F.col("_before"), F.lit(0))).drop("_ns", "_before")
 
 
 def original_timing(df: DataFrame, scale: float = 1.0, keys: list[str] = ("shard",), order: tuple[str, ...] = ORDER) -> DataFrame:
     """Send offsets as recorded. Negative gaps wait for nothing; 0.5 sends twice as fast, 0 or less is 1."""
     scale = scale if scale > 0 else 1.0
-    wait = F.floor(F.greatest("gap_ns", F.lit(0)) * scale).cast("long")
-    upto = _in_shard(list(keys), order).rowsBetween(Window.unboundedPreceding, 0)
-    return gaps(df, keys, order).withColumn("send_offset_ns", F.sum(wait).over(upto))
+    rows = gaps(df, keys, order).withColumn("_wait", F.floor(F.greatest("gap_ns", F.lit(0)) * scale).cast("long"))
+    return blocked.running_sum(rows, list(keys), order[1], "_wait", ties=order[2:], name="send_offset_ns", block=F.col(order[0])).drop("_wait")
+
+
+def _place(df: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """_place of each row in its shard, from 1 on."""
+    return blocked.running_sum(df.withColumn("_one", F.lit(1).cast("long")), list(keys), order[1], "_one", ties=order[2:], name="_place", block=F.col(order[0])).drop("_one")
 
 
 def constant_rate(df: DataFrame, per_second: float, keys: list[str] = ("shard",), order: tuple[str, ...] = ORDER) -> DataFrame:
     """A row each tick; the first one waits for one, too."""
-    return df.withColumn("send_offset_ns", F.floor(F.row_number().over(_in_shard(list(keys), order)) * (1e9 / per_second)).cast("long"))
+    return _place(df, keys, order).withColumn("send_offset_ns", F.floor(F.col("_place") * (1e9 / per_second)).cast("long")).drop("_place")
 
 
 def unlimited(df: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def source_offsets(df: DataFrame, keys: list[str] = ("shard",), order: tuple[str
 def batches(df: DataFrame, size: int | None = None, keys: list[str] = ("shard",), order: tuple[str, ...] = ORDER) -> DataFrame:
     """Batch numbers for a feed; a size is 100 if it is missing, 1 at least and 1000 at most."""
     n = 100 if size is None else min(max(size, 1), 1000)
-    return df.withColumn("batch", F.floor((F.row_number().over(_in_shard(list(keys), order)) - 1) / n).cast("long"))
+    return _place(df, keys, order).withColumn("batch", F.floor((F.col("_place") - 1) / n).cast("long")).drop("_place")
 
 
 def global_offsets(df: DataFrame, column: str, width: int) -> DataFrame:
@@ -61,11 +64,10 @@ def global_offsets(df: DataFrame, column: str, width: int) -> DataFrame:
     return keyed.withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(column, "id"))).drop("_b", "_before")
 
 
-def fidelity(sent: DataFrame, tolerance_ns: int, keys: list[str] = ("shard",)) -> DataFrame:
-    """Actual against planned gaps of consecutive sends: rows beyond the tolerance, the largest difference, the drift."""
-    w = Window.partitionBy(*keys).orderBy("planned_ns", "id")
-    gap = lambda c: F.col(c) - F.lag(c).over(w)
-    diffs = sent.withColumn("diff", F.abs(gap("actual_ns") - gap("planned_ns"))).withColumn("late", F.col("actual_ns") - F.col("planned_ns"))
+def fidelity(sent: DataFrame, tolerance_ns: int, keys: list[str] = ("shard",), block_ns: int = 600_000_000_000) -> DataFrame:
+    """Actual against planned gaps of consecutive sends: rows beyond the tolerance, the largest difference, the drift. Sends are paired in blocks of planned time."""
+    rows = blocked.previous(sent.withColumn("_late", F.col("actual_ns") - F.col("planned_ns")), list(keys), "planned_ns", "_late", block_ns, ["id"], "_before")
+    diffs = rows.withColumn("diff", F.abs(F.col("_late") - F.col("_before"))).withColumn("late", F.col("actual_ns") - F.col("planned_ns"))
     return diffs.groupBy(*keys).agg(F.count("diff").alias("gaps"), F.count_if(F.col("diff") > tolerance_ns).alias("beyond"), F.max("diff").alias("largest_ns"), (F.max("late") - F.min("late")).alias("drift_ns"))
 
 
