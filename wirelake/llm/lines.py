@@ -47,14 +47,6 @@ def counted(keys: pa.Array, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
     return [names[i] for i in keep.tolist()], n[keep]
 
 
-def places(keys: list[str], bits: int) -> np.ndarray:
-    """The HASHES places of each key in a filter of 2**bits bits."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    with np.errstate(over="ignore"):
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        return np.stack([(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(HASHES)], axis=1).astype(np.int64)
-
-
 def hashes(keys: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 

@@ -77,6 +77,10 @@ def rate(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of every row, whether the base rules fail, and whether it is kept.
+
+    A null text is empty; it has no words, so that the base fails. Repeated rows are judged alike, extra columns don't matter, an empty table gives none.
+    """
     return rate(docs).drop("clean_text")
 
 

@@ -177,6 +177,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CH
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row; nulls, ties, repeated rows and empty tables as in repeated_windows."""
     return repeated_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
