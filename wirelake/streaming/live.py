@@ -22,47 +22,52 @@ def state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-class Steps(StatefulProcessor):
-    """What a counter grew by at each sample. Samples wait until the watermark has passed them and are then taken in order, whatever
-    the order in which they came; a fall is a restart from zero. State is the last sample and those that wait."""
-
-    def __init__(self, series: list[str]):
-        self.series = series
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "t long, v double")
-        self.waiting = handle.getMapState("waiting", "t long, v double", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        for r in rows:
-            sample = (r.t_us, r.v)
-            if r.t_us > mark:
-                known = self.waiting.getValue(sample) if self.waiting.containsKey(sample) else (0,)
-                self.waiting.updateValue(sample, (known[0] + 1,))
-        return self._passed(key, mark)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _passed(self, key, mark: int) -> Iterator[Row]:
-        waiting = sorted((tuple(k), n[0]) for k, n in self.waiting.iterator())
-        last = tuple(self.last.get()) if self.last.exists() else None
-        for (t, v), n in waiting:
-            if t > mark:
-                self.handle.registerTimer(t // 1000 + 1)
-                break
-            self.waiting.removeKey((t, v))
-            for _ in range(n):
-                step = 0.0 if last is None else v if v < last[1] else v - last[1]
-                last = (t, v)
-                yield Row(**dict(zip(self.series, key, strict=True)), t_us=t, v=v, step=step)
-        if last is not None:
-            self.last.update(last)
-
-    def close(self) -> None:
-        """Nothing is open."""
+def _steps(series: list[str]) -> StatefulProcessor:
+    """The processor of counter_steps. Its class is sent with it, as the process that a stream asks for state need not have this package."""
+
+    class Steps(StatefulProcessor):
+        """What a counter grew by at each sample. Samples wait until the watermark has passed them and are then taken in order, whatever
+        the order in which they came; a fall is a restart from zero. State is the last sample and those that wait."""
+
+        def __init__(self, series: list[str]):
+            self.series = series
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "t long, v double")
+            self.waiting = handle.getMapState("waiting", "t long, v double", "n long")
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            mark = timerValues.getCurrentWatermarkInMs() * 1000
+            for r in rows:
+                sample = (r.t_us, r.v)
+                if r.t_us > mark:
+                    known = self.waiting.getValue(sample) if self.waiting.containsKey(sample) else (0,)
+                    self.waiting.updateValue(sample, (known[0] + 1,))
+            return self._passed(key, mark)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            return self._passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+        def _passed(self, key, mark: int) -> Iterator[Row]:
+            waiting = sorted((tuple(k), n[0]) for k, n in self.waiting.iterator())
+            last = tuple(self.last.get()) if self.last.exists() else None
+            for (t, v), n in waiting:
+                if t > mark:
+                    self.handle.registerTimer(t // 1000 + 1)
+                    break
+                self.waiting.removeKey((t, v))
+                for _ in range(n):
+                    step = 0.0 if last is None else v if v < last[1] else v - last[1]
+                    last = (t, v)
+                    yield Row(**dict(zip(self.series, key, strict=True)), t_us=t, v=v, step=step)
+            if last is not None:
+                self.last.update(last)
+
+        def close(self) -> None:
+            """Nothing is open."""
+
+    return Steps(series)
 
 
 def counter_steps(samples: DataFrame, series: list[str], time: str = "t", value: str = "v") -> DataFrame:
@@ -74,7 +79,7 @@ def counter_steps(samples: DataFrame, series: list[str], time: str = "t", value:
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
     rows = samples.select(*series, F.col(time).alias("t"), F.col(value).cast("double").alias("v")).withWatermark("t", LATE).withColumn("t_us", F.unix_micros("t"))
     out = ", ".join(f"{c} {kinds[c]}" for c in series) + ", t_us long, v double, step double"
-    steps = rows.groupBy(*series).transformWithState(statefulProcessor=Steps(list(series)), outputStructType=_struct(samples.sparkSession, out), outputMode="Append", timeMode="EventTime")
+    steps = rows.groupBy(*series).transformWithState(statefulProcessor=_steps(list(series)), outputStructType=_struct(samples.sparkSession, out), outputMode="Append", timeMode="EventTime")
     return steps.select(*series, F.timestamp_micros("t_us").alias("t"), "v", "step")
 
 
