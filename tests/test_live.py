@@ -99,6 +99,56 @@ def test_counter_steps_equal_the_batch_over_restarts(spark, tmp_path):
         assert (x.increase, x.samples) == (sum(inside), len(inside)) and abs(x.per_second - sum(inside) / 300) < 1e-9
 
 
+class Counted:
+    """Value, map and timer states in a dict, which count how often they are called."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def state(self):
+        outer, kept = self, {}
+
+        class State:
+            def __getattr__(self, name):
+                outer.calls += 1
+                return {
+                    "exists": lambda: None in kept, "get": lambda: kept[None], "update": lambda v: kept.__setitem__(None, v), "keys": lambda: iter(list(kept)), "iterator": lambda: iter(list(kept.items())),
+                    "containsKey": lambda k: tuple(k) in kept, "getValue": lambda k: kept[tuple(k)], "updateValue": lambda k, v: kept.__setitem__(tuple(k), v), "removeKey": lambda k: kept.pop(tuple(k)),
+                }[name]
+
+        return State()
+
+    def getValueState(self, *_):
+        return self.state()
+
+    def getMapState(self, *_):
+        return self.state()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_counter_samples_wait_in_packs(monkeypatch):
+    """A call for each sample would make a series of a million samples hours of work; here 6,000 samples of 20 hours take few."""
+    r, handle = random.Random(4), Counted()
+    at = lambda ms: type("Timer", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    samples = [(i * 12_000_000 + r.randrange(3), float(r.randrange(50))) for i in range(6_000)] + [(600_000_000, 7.0)] * 2
+    r.shuffle(samples)
+    steps, out = live._steps(["s"]), []
+    steps.init(handle)
+    flat = lambda rows: [x for row in rows for x in zip(row.t_us, row.v, row.step, strict=True)]
+    out += flat(steps.handleInputRows((None,), iter([type("R", (), {"t_us": t, "v": v})() for t, v in samples]), at(0)))
+    calls = handle.calls
+    for ms in (10, 36_000_000, 36_000_100, 80_000_000):
+        out += flat(steps.handleExpiredTimer((None,), at(ms), None))
+    want, last = [], None
+    for t, v in sorted(samples):
+        if t > 0:
+            want.append((t, v, 0.0 if last is None else v if v < last else v - last))
+            last = v
+    assert out == want and calls < 100 and handle.calls < 400 and handle.timers
+
+
 def test_late_rows_go_to_their_own_table(spark, tmp_path):
     parts = [[(1, BASE), (2, BASE + dt.timedelta(hours=1)), (3, None)], [(4, BASE + dt.timedelta(minutes=50)), (5, BASE + dt.timedelta(minutes=49, seconds=59)), (6, BASE + dt.timedelta(minutes=30))], [(7, BASE + dt.timedelta(minutes=50)), (8, None)]]
     for part in parts:

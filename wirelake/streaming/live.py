@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -16,18 +18,21 @@ from .jobs import LATE
 #: State with timers needs this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SAMPLE = "t timestamp, v double"
+#: A stretch of samples that wait together, samples that are taken in before they are put into packs, and samples of an output row.
+WIDTH_US, HELD, PACKED = 3_600_000_000, 100_000, 10_000
 
 
 def state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _steps(series: list[str]) -> StatefulProcessor:
+def _steps(series: list[str], width: int = WIDTH_US, held: int = HELD) -> StatefulProcessor:
     """The processor of counter_steps. Its class is sent with it, as the process that a stream asks for state need not have this package."""
 
     class Steps(StatefulProcessor):
         """What a counter grew by at each sample. Samples wait until the watermark has passed them and are then taken in order, whatever
-        the order in which they came; a fall is a restart from zero. State is the last sample and those that wait."""
+        the order in which they came; a fall is a restart from zero. State is the last sample and those that wait, in packs of a stretch of time:
+        reading or writing a pack is one call, and a stretch is all that is sorted at once."""
 
         def __init__(self, series: list[str]):
             self.series = series
@@ -35,32 +40,54 @@ def _steps(series: list[str]) -> StatefulProcessor:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.last = handle.getValueState("last", "t long, v double")
-            self.waiting = handle.getMapState("waiting", "t long, v double", "n long")
+            self.packs = handle.getMapState("packs", "stretch long, n long", "t binary, v binary")
+            self.number = handle.getValueState("number", "n long")
 
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
             mark = timerValues.getCurrentWatermarkInMs() * 1000
-            for r in rows:
-                sample = (r.t_us, r.v)
-                if r.t_us > mark:
-                    known = self.waiting.getValue(sample) if self.waiting.containsKey(sample) else (0,)
-                    self.waiting.updateValue(sample, (known[0] + 1,))
+            waiting = ((r.t_us, r.v) for r in rows if r.t_us > mark)
+            while some := list(itertools.islice(waiting, held)):
+                t, v = zip(*some, strict=True)
+                self._put(np.array(t, np.int64), np.array(v, np.float64))
             return self._passed(key, mark)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             return self._passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
+        def _put(self, t: np.ndarray, v: np.ndarray) -> None:
+            n = self.number.get()[0] if self.number.exists() else 0
+            stretch = t // width
+            order = np.argsort(stretch, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(stretch[order])) + 1):
+                n += 1
+                self.packs.updateValue((int(stretch[part[0]]), n), (t[part].tobytes(), v[part].tobytes()))
+            self.number.update((n,))
+
         def _passed(self, key, mark: int) -> Iterator[Row]:
-            waiting = sorted((tuple(k), n[0]) for k, n in self.waiting.iterator())
+            stretches: dict[int, list[tuple]] = {}
+            for k in self.packs.keys():
+                stretches.setdefault(k[0], []).append(tuple(k))
             last = tuple(self.last.get()) if self.last.exists() else None
-            for (t, v), n in waiting:
-                if t > mark:
-                    self.handle.registerTimer(t // 1000 + 1)
+            for stretch in sorted(stretches):
+                packs = [self.packs.getValue(k) for k in stretches[stretch]]
+                t, v = (np.concatenate([np.frombuffer(x[i], kind) for x in packs]) for i, kind in enumerate((np.int64, np.float64)))
+                order = np.lexsort((v, t))
+                t, v = t[order], v[order]
+                n = int(np.searchsorted(t, mark, "right"))
+                if n:
+                    for k in stretches[stretch]:
+                        self.packs.removeKey(k)
+                    if n < len(t):
+                        self._put(t[n:], v[n:])
+                    before = np.concatenate([[v[0] if last is None else last[1]], v[: n - 1]])
+                    step = np.where(v[:n] < before, v[:n], v[:n] - before)
+                    last = (int(t[n - 1]), float(v[n - 1]))
+                    for i in range(0, n, PACKED):
+                        some = slice(i, min(n, i + PACKED))
+                        yield Row(**dict(zip(self.series, key, strict=True)), t_us=t[some].tolist(), v=v[some].tolist(), step=step[some].tolist())
+                if n < len(t):
+                    self.handle.registerTimer(int(t[n]) // 1000 + 1)
                     break
-                self.waiting.removeKey((t, v))
-                for _ in range(n):
-                    step = 0.0 if last is None else v if v < last[1] else v - last[1]
-                    last = (t, v)
-                    yield Row(**dict(zip(self.series, key, strict=True)), t_us=t, v=v, step=step)
             if last is not None:
                 self.last.update(last)
 
@@ -71,16 +98,17 @@ def _steps(series: list[str]) -> StatefulProcessor:
 
 
 def counter_steps(samples: DataFrame, series: list[str], time: str = "t", value: str = "v") -> DataFrame:
-    """series, t, v and step of a stream of counter samples, in append mode; samples behind the watermark (LATE) are left out.
+    """series, t, v and step of a stream of counter samples, in append mode; samples behind the watermark (LATE) or without a time are left out.
 
     Samples of the same time and value are one after the other; of the same time, smaller values come first.
     """
     state_store(samples.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
-    rows = samples.select(*series, F.col(time).alias("t"), F.col(value).cast("double").alias("v")).withWatermark("t", LATE).withColumn("t_us", F.unix_micros("t"))
-    out = ", ".join(f"{c} {kinds[c]}" for c in series) + ", t_us long, v double, step double"
+    rows = samples.where(F.col(time).isNotNull()).select(*series, F.col(time).alias("t"), F.col(value).cast("double").alias("v")).withWatermark("t", LATE).withColumn("t_us", F.unix_micros("t"))
+    out = ", ".join(f"{c} {kinds[c]}" for c in series) + ", t_us array<long>, v array<double>, step array<double>"
     steps = rows.groupBy(*series).transformWithState(statefulProcessor=_steps(list(series)), outputStructType=_struct(samples.sparkSession, out), outputMode="Append", timeMode="EventTime")
-    return steps.select(*series, F.timestamp_micros("t_us").alias("t"), "v", "step")
+    each = steps.select(*series, F.inline(F.arrays_zip("t_us", "v", "step")).alias("t_us", "v", "step"))
+    return each.select(*series, F.timestamp_micros("t_us").alias("t"), "v", "step")
 
 
 def _struct(spark: SparkSession, ddl: str) -> StructType:
