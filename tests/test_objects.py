@@ -4,10 +4,12 @@ import datetime as dt
 import gzip
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from wirelake import schemas
+from wirelake.operators import select as S
 from wirelake.plans import schedule as W
 from wirelake.sources import lake, objects
 
@@ -211,6 +213,24 @@ def test_slices_keep_the_order_of_their_source(spark, requests, tmp_path):
     assert sorted(r.n for r in empty) == [0, 0, 0, 1] and sum(r.sha256 == hashlib.sha256().hexdigest() for r in empty) == 3
 
 
+def test_a_slice_is_sorted_and_written_by_several_tasks(spark, requests, tmp_path):
+    """One task a slice would sort all of it. Ranges of it are tasks, and its objects, in the order of their keys, are still the whole slice in order."""
+    rows = requests.withColumn("object_key", F.lit("k")).withColumn("line", F.col("contentLength"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        said = {r.shard: (r.n, r.sha256) for r in lake.write_shards(rows, str(tmp_path), "ns/c", 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    store, one = objects.Store(str(tmp_path)), spark.createDataFrame([(r.id, r.line) for r in rows.collect()], "id string, line long")
+    for i in range(2):
+        keys = [k for k, _ in store.find(lake.slice_id("ns/c", i, 2))]
+        assert len({re.search(r"-p(\d+)-", k).group(1) for k in keys}) > 1
+        lines = [x for k in keys for x in store.lines(k)]
+        assert said[i] == (len(lines), hashlib.sha256(b"".join(lines)).hexdigest())
+        want = [r.id for r in S.with_shard(one, 2).where(f"shard = {i}").orderBy("line").collect()]
+        assert [json.loads(x)["id"] for x in lines] == want
+
+
 def test_a_stream_reads_objects_as_they_come(spark, tmp_path):
     objects.register(spark)
 

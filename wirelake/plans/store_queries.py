@@ -5,15 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import blocked as B
 from ..operators import policy as D
 from ..operators import select as S
 from ..sources import lake, objects
 from ..sources.adapters import CAPTURED, HEARTBEATS, SHARDS, captured, heartbeats, shard_status, table
-from ..sources.shared import fresh_path
+from ..sources.shared import checkpoint, fresh_path
 from ..streaming import jobs
 from ..streaming.keyed import KeyedTable, kept_up
 from .fleet_queries import ABORTS, NEWEST, POLICIES, ROLLUP, policies
@@ -82,8 +83,8 @@ def slice_read_order(spark, sf_dir) -> DataFrame:
     root = fresh_path(spark, "lake")
     lake.write_shards(captured(spark, sf_dir), root, "ns/orders", 3, max_bytes=200_000)
     read = [lake.read_lines(spark, root, lake.slice_id("ns/orders", i, 3)).select(F.lit(i).alias("shard"), "object_key", "line", X.micros("request.timestamp").alias("t")) for i in range(3)]
-    rows = reduce(DataFrame.union, read)
-    rows = rows.withColumn("before", F.lag("t").over(Window.partitionBy("shard").orderBy("object_key", "line")))
+    rows = checkpoint(reduce(DataFrame.union, read))
+    rows = B.previous(rows, ["shard"], "line", "t", block=F.col("object_key"))
     return rows.groupBy("shard").agg(F.min("t").alias("first_us"), F.max("t").alias("last_us"), F.count_if(F.col("t") < F.col("before")).alias("backwards"))
 
 

@@ -142,8 +142,8 @@ def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: in
 def write_shards(df: DataFrame, root: str, capture_id: str, count: int, rows_per_object: int | None = None, max_bytes: int = objects.MAX_BYTES) -> DataFrame:
     """Every row in one of `count` slices, in the order of object_key and line where there are such columns, else of time and id; gives shard, n and sha256 of each.
 
-    One shuffle deals the rows to a task a slice, which Spark sorts with spilling and the task streams; a slice is read by one worker, too.
-    The digest is that of the slice's lines in write order. Manifests are written by the same commit, after all data, for empty slices too.
+    One shuffle deals ranges of a slice's order to tasks, which sort and write them; objects are named by the place of their range, so
+    that keys have the slice's order. The digest is that of the slice's lines in it, taken from what is stored by a task a slice. Manifests are written after all data, for empty slices too.
     """
     if count < 2:
         raise ValueError("a split has two shards or more")
@@ -151,10 +151,14 @@ def write_shards(df: DataFrame, root: str, capture_id: str, count: int, rows_per
     order = ["object_key", "line"] if {"object_key", "line"} <= set(df.columns) else ["timestamp", "id"]
     named = S.with_shard(df, count)
     rows = _stored(named, F.concat(F.lit(f"{capture_id}/shards/"), F.col("shard").cast("string"), F.lit(f"-of-{count}")), F.lit(None), "shard", *(F.col(c).alias(f"_order{i}") for i, c in enumerate(order)))
-    rows = rows.repartitionById(count, "shard").sortWithinPartitions("shard", "_order0", "_order1").select("capture", "day", "line")
-    told = {slice_id(capture_id, i, count): {"shardIndex": i, "shardCount": count, "sourceCaptureID": capture_id} for i in range(count)}
-    w = rows.write.format("capture").mode("overwrite").option("path", root).option("pod", "slice").option("maxBytes", max_bytes).option("maxAge", UNAGED).option("manifests", json.dumps(told))
+    rows = rows.repartitionByRange("shard", "_order0", "_order1").sortWithinPartitions("shard", "_order0", "_order1").select("capture", "day", "line")
+    store, ids = objects.Store(root), [slice_id(capture_id, i, count) for i in range(count)]
+    w = rows.write.format("capture").mode("overwrite").option("path", root).option("pod", "slice").option("maxBytes", max_bytes).option("maxAge", UNAGED)
+    w = w.option("manifests", json.dumps(dict.fromkeys(ids, {}))).option("publish", "false")
     (w.option("maxRows", rows_per_object) if rows_per_object else w).save()
+    for r in slice_digests(df.sparkSession, root, capture_id, count).collect():
+        fields = {"shardIndex": r.shard, "shardCount": count, "sourceCaptureID": capture_id}
+        store.write(f"{ids[r.shard]}/manifest.json", objects.manifest_of(ids[r.shard], r.n, r.sha256, fields))
     return slice_manifests(df.sparkSession, root, capture_id, count).select(F.col("shardIndex").alias("shard"), F.col("recordCount").alias("n"), "sha256")
 
 
@@ -166,7 +170,7 @@ def slice_manifests(spark: SparkSession, root: str, capture_id: str, count: int)
 def slice_digests(spark: SparkSession, root: str, capture_id: str, count: int) -> DataFrame:
     """shard, n and sha256 of each of `count` slices as they are stored now: lines in order of the objects' keys.
 
-    A slice is read by one task, line after line; none is held.
+    A slice is read by one task, a piece of an object at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +179,9 @@ def slice_digests(spark: SparkSession, root: str, capture_id: str, count: int) -
             for i in batch.column("shard").to_pylist():
                 found, n = hashlib.sha256(), 0
                 for key, _ in store.find(slice_id(capture_id, i, count)):
-                    for line in store.lines(key):
-                        found.update(line)
-                        n += 1
+                    for piece in store.pieces(key):
+                        found.update(piece)
+                        n += piece.count(b"\n")
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([i], pa.int32()), "n": pa.array([n], pa.int64()), "sha256": [found.hexdigest()]})
 
     return spark.range(0, count, 1, count).select(F.col("id").cast("int").alias("shard")).mapInArrow(run, "shard int, n long, sha256 string")

@@ -37,6 +37,7 @@ from .. import schemas
 MAX_BYTES, MAX_AGE_S = 10 << 20, 5.0
 #: Compressed bytes of a partition, about; rows of a batch; buffered bytes of all folders of a task; moves at a time.
 PARTITION_BYTES, BATCH_ROWS, TASK_BYTES, MOVES = 64 << 20, 5_000, 128 << 20, 32
+PIECE_BYTES = 1 << 20
 VERSION = 1
 #: Rows to write: the capture, the day (null for none) and the line.
 LINES = "capture string, day string, line string"
@@ -97,6 +98,12 @@ class Store:
         with self.fs.open_input_stream(self.path(key), compression=None) as f, gzip.GzipFile(fileobj=f) as g:
             yield from g
 
+    def pieces(self, key: str) -> Iterator[bytes]:
+        """An object's bytes, unpacked, a piece at a time."""
+        with self.fs.open_input_stream(self.path(key), compression=None) as f, gzip.GzipFile(fileobj=f) as g:
+            while piece := g.read(PIECE_BYTES):
+                yield piece
+
     def move(self, key: str, to: str) -> None:
         """Puts an object where it belongs; one that was moved before is left alone."""
         if self.fs.get_file_info(self.path(key)).type == fs.FileType.File:
@@ -232,6 +239,12 @@ class CaptureReader(DataSourceReader):
         return not (self.start and (at is None or at < self.start) or self.end and (at is None or at > self.end))
 
 
+def manifest_of(capture: str, n: int, sha256: str | None, fields: dict) -> bytes:
+    """A capture's manifest as it is stored."""
+    made = {"formatVersion": VERSION, "captureID": capture, "recordCount": n, "sha256": sha256, "createdAt": dt.datetime.now(dt.UTC).isoformat()}
+    return json.dumps({k: v for k, v in (made | fields).items() if v is not None}).encode()
+
+
 def packed(objects: list[tuple[str, int]], most: int) -> list[Objects]:
     """Objects in order, in partitions of so many bytes; a larger one is alone."""
     out: list[Objects] = []
@@ -298,7 +311,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
 
     Options: path (the root), pod (its name; a task's partition and the run are added), maxBytes, maxRows and maxAge of an object, and manifests, JSON
     of fields by capture: those captures get a manifest, without a row too. Its digest is that of the lines in order where one task wrote
-    them all, else it has none.
+    them all, else it has none. With publish=false they only lose old objects and manifests, and who writes gives them theirs.
     """
 
     def __init__(self, options: dict, overwrite: bool):
@@ -307,6 +320,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
         self.max_bytes, self.max_age = int(options.get("maxbytes", MAX_BYTES)), float(options.get("maxage", MAX_AGE_S))
         self.max_rows = int(options.get("maxrows", 1 << 62))
         self.manifests: dict[str, dict] = json.loads(options.get("manifests") or "{}")
+        self.published = options.get("publish", "true") == "true"
         self.overwrite, self.run = overwrite, uuid.uuid4().hex
         self.query = options.get("query", "")
 
@@ -365,7 +379,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
             list(pool.map(store.forget, old))
             list(pool.map(lambda x: store.move(*x), moves))
         store.remove(f"_staged/{self.run}")
-        if not known:
+        if not known and self.published:
             self.publish(store, said)
 
     def publish(self, store: Store, said: list[Written]) -> None:
@@ -376,8 +390,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
         for capture, fields in self.manifests.items():
             found = parts.get(capture, [])
             digest = hashlib.sha256().hexdigest() if not found else found[0][1] if len(found) == 1 else None
-            made = {"formatVersion": VERSION, "captureID": capture, "recordCount": sum(n for n, _ in found), "sha256": digest, "createdAt": dt.datetime.now(dt.UTC).isoformat()}
-            store.write(f"{capture}/manifest.json", json.dumps({k: v for k, v in (made | fields).items() if v is not None}).encode())
+            store.write(f"{capture}/manifest.json", manifest_of(capture, sum(n for n, _ in found), digest, fields))
 
     def abort(self, messages: list[Written | None], batchId: int | None = None) -> None:
         Store(self.root).remove(f"_staged/{self.run}")
