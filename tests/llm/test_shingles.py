@@ -60,6 +60,36 @@ def test_similar(spark, monkeypatch, source, sent):
     assert sorted(map(tuple, shingles.similar(docs).select("doc_id", "component_id").collect()), key=key) == sorted(want, key=key)
 
 
+def test_fingerprints_propose_pairs_and_sets_decide(spark, monkeypatch):
+    """Without any MinHash pair, copies whose five-word fingerprints are linked are still found; linked texts that are not similar stay apart."""
+    from wirelake.llm import shingles
+
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "changed"])), (3, " ".join(base[::-1])), (4, None), (5, "")]
+    monkeypatch.setattr(shingles, "ROUNDS", 0)
+    monkeypatch.setattr(shingles, "_met", lambda open_, *_: open_.select("node", "root").toDF("a", "b").limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in shingles.similar(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
+
+
+def test_common_passages_in_unlike_texts_make_no_pairs(spark, monkeypatch):
+    """Texts of one long passage and 24 own words (similarity 0.72 or so) meet in their prefixes, but no place where they meet first leaves enough to share."""
+    from wirelake.llm import shingles
+
+    passage, made, met = [f"p{i}" for i in range(150)], [], shingles._met
+    rows = [(i, " ".join([*passage, *(f"own{i}-{j}" for j in range(24))])) for i in range(60)]
+
+    def counted(open_, members, shingle):
+        out = met(open_, members, shingle)
+        made.append((open_.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(shingles, "_met", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert all(r.doc_id == r.component_id for r in shingles.similar(docs).collect())
+    assert made[0][1] == 0
+
+
 def test_stage_drops_a_copy_with_one_changed_word(spark):
     import corpus_pipeline
 

@@ -1,6 +1,8 @@
 """Near-duplicates by the Jaccard similarity of word shingles, verified exactly.
 
-Equal shingle sets are one node. Nodes that share no band of MinHashes with another one are alone: at similarity 0.8 a
+Equal shingle sets are one node. Nodes whose SimHash fingerprints over the same shingles are linked by the keys of simhash.py (a
+segment and a Golay codeword near the next) are compared first, which finds the nearest copies; at similarity 0.8 fingerprints
+differ in some 10 bits, which no such keys reach, so bands of MinHashes find the others. Nodes that share no band of MinHashes with another one are alone: at similarity 0.8 a
 pair is missed with probability (1 - 0.8^4)^32, about 5e-8. In a few rounds each of the others is compared with a few nodes of
 other components, one a band, which joins groups of copies by few pairs a node. What is still
 in bands of several components is compared where prefixes of the shingle sets meet: sets of similarity 0.8 or more always
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, parts_of, sent, slices, starts_of, texts
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprints_of, shingle_hashes
+from .simhash import links as fingerprint_links
 
 SHINGLE, BANDS, BAND = 5, 32, 4
 #: A pair is similar where the intersection is NUMERATOR / DENOMINATOR of the union or more.
@@ -50,7 +53,7 @@ def sets(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
 
 
 def _nodes(shingle: int):
-    """The rows' nodes and their bands; a text without words is node 0 and has none."""
+    """The rows' nodes, SimHash fingerprints and bands; a text without words is node 0 and has none."""
 
     def run(batches):
         for batch in batches:
@@ -60,8 +63,9 @@ def _nodes(shingle: int):
                 node[rows] = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets(h, n)], np.uint64).view(np.int64)
                 sizes[rows] = BANDS
                 values = bands(h, n).ravel() if len(rows) else np.zeros(0, np.uint64)
+                fp = fingerprints_of(part.num_rows, rows, n, h)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("at"), pa.array(node), lists], ["doc_id", "at", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("at"), pa.array(node), pa.array(fp.view(np.int64)), lists], ["doc_id", "at", "node", "fp", "bands"])
 
     return run
 
@@ -145,15 +149,26 @@ def _met(open_: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     kept = checkpoint(prefix.join(sent(several), "gram"))
     a, b = kept.alias("a"), kept.alias("b")
     ok = f"a.gram = b.gram and a.node < b.node and a.root <> b.root and least(a.n, b.n) * {DENOMINATOR} >= greatest(a.n, b.n) * {NUMERATOR}"
+    # Where two similar sets first meet, what is left of the smaller rest is all that they share; later meetings count as rest.
+    ok += f" and least(a.n - a.place, b.n - b.place) * {NUMERATOR + DENOMINATOR} >= (a.n + b.n) * {NUMERATOR}"
     met = a.join(b, F.expr(ok)).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("size_a"), F.col("b.n").alias("size_b"))
     most = F.count("*") + F.least(F.col("size_a") - F.max("a.place"), F.col("size_b") - F.max("b.place")) - 1
     return met.agg(most.alias("most")).where((F.col("most") * (NUMERATOR + DENOMINATOR)) >= (F.col("size_a") + F.col("size_b")) * NUMERATOR).select("a", "b")
 
 
-def _placed(near: DataFrame, links: DataFrame | None) -> DataFrame:
+def _fingerprinted(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes by their fingerprints: the least node of each of two linked ones, and each other node of a fingerprint with its least."""
+    each = checkpoint(nodes.select("node", "fp").distinct())
+    least = checkpoint(each.groupBy("fp").agg(F.min("node").alias("a")))
+    same = each.join(least, "fp").select("a", F.col("node").alias("b"))
+    found = fingerprint_links(least.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    ends = [least.select(F.col("fp").alias(c), F.col("a").alias(f"n{c}")) for c in ("x", "y")]
+    linked = found.join(ends[0], "x").join(ends[1], "y").select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b"))
+    return same.union(linked).where("a <> b").distinct()
+
+
+def _placed(near: DataFrame, links: DataFrame) -> DataFrame:
     """band, node and root (of the component by the links so far) of every row of near."""
-    if links is None:
-        return near.withColumn("root", F.col("node"))
     return checkpoint(near.join(sent(components(links)), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
 
 
@@ -174,20 +189,21 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     alike. component_id is the smallest doc_id of the component, null only where all are null. An empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("at"))
-    nodes = checkpoint(rows.mapInArrow(_nodes(shingle), "doc_id long, at long, node long, bands array<long>"))
+    nodes = checkpoint(rows.mapInArrow(_nodes(shingle), "doc_id long, at long, node long, fp long, bands array<long>"))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = checkpoint(banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
     near = checkpoint(banded.join(sent(shared), "band").select("band", "node").distinct())
-    wanted = checkpoint(near.select("node").distinct())
+    tried = checkpoint(_fingerprinted(nodes))
+    wanted = checkpoint(near.select("node").union(tried.select("a")).union(tried.select("b")).distinct())
     place = checkpoint(nodes.join(sent(wanted), "node").groupBy("node").agg(F.min("at").alias("at")))
     members = checkpoint(rows.select("text", "at").join(sent(place), "at").groupBy("node").agg(F.first("text").alias("text")))
     parts = parts_of(near.count())
-    near, links, tried = near.coalesce(parts), None, None
+    near = near.coalesce(parts)
+    links = _verified(tried, members, shingle)
     for turn in range(ROUNDS):
         pairs = _few(_placed(near, links), turn, parts)
-        pairs = checkpoint(pairs.join(sent(tried), ["a", "b"], "left_anti").coalesce(parts) if tried else pairs)
-        found = _verified(pairs, members, shingle)
-        links, tried = (links.union(found), tried.union(pairs)) if tried else (found, pairs)
+        pairs = checkpoint(pairs.join(sent(tried), ["a", "b"], "left_anti").coalesce(parts))
+        links, tried = links.union(_verified(pairs, members, shingle)), tried.union(pairs)
     placed = _placed(near, links)
     split = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
     open_ = checkpoint(placed.join(sent(checkpoint(split)), "band").select("node", "root").distinct())

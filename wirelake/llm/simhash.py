@@ -54,8 +54,12 @@ def shingle_hashes(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 def fingerprints(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of each text: a bit is set if it is set in over half of the shingles' XXH64."""
-    out = np.zeros(len(text), np.uint64)
-    rows, n, h = shingle_hashes(text, shingle)
+    return fingerprints_of(len(text), *shingle_hashes(text, shingle))
+
+
+def fingerprints_of(size: int, rows: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """fingerprints of `size` texts by their shingle_hashes."""
+    out = np.zeros(size, np.uint64)
     if not len(rows):
         return out
     within = np.arange(len(h)) - np.repeat(starts_of(n), n)
