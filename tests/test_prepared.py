@@ -51,6 +51,20 @@ def test_bundles_keep_their_bounds_and_their_index(spark, records, tmp_path):
     assert files.bundle_faults(spark, str(tmp_path)).count() == 0
 
 
+def test_bundles_make_a_folder_once_and_return_many_rows_at_a_time(spark, records, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "INDEX_ROWS", 7)
+    files.write_bundles(records[0], str(tmp_path), 400, 600, 10 * 10**9, 10**9)
+    index = files.read_index(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in index) == len(records[1]) and len({r.uri for r in index}) == len(index) > 70
+    assert files.bundle_faults(spark, str(tmp_path)).count() == 0
+    assert [files.lines_of(gzip.compress(x)) for x in (b"", b"a\n", b"a\nb")] == [0, 1, 2]
+    store = files.Store(str(tmp_path))
+    store.write("a/b/1", b"")
+    monkeypatch.setattr(store, "fs", type("Fs", (), {"open_output_stream": store.fs.open_output_stream}))  # makes no folders
+    store.write("a/b/2", b"x")
+    assert (tmp_path / "a/b/2").read_bytes() == b"x"
+
+
 def test_a_lookup_opens_only_its_bundles(spark, records, tmp_path):
     df, rows = records
     files.write_bundles(df, str(tmp_path), 4_000, 6_000, 10 * 10**9, 10**9)

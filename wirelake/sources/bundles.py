@@ -8,7 +8,9 @@ manifest is written last.
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .objects import Store
+from .objects import PIECE_BYTES, Store
 
 #: Bytes of lines at which a bundle ends, and that it never exceeds but for a single record (a fixed value); a span and a bucket of time.
 TARGET, MOST, SPAN_NS, WIDTH_NS = 128 << 20, 256 << 20, 10_000_000_000, 1_000_000_000
 INDEX = "capture_id string, bundle_id string, uri string, first_ns long, last_ns long, n long, compressed_bytes long, bytes long, sha256 string, routes map<string,bigint>, buckets array<struct<bucket:bigint,n:bigint,bytes:bigint>>"
 VERSION = 1
+#: Index rows that a task returns at a time.
+INDEX_ROWS = 500
 
 
 class Bundle:
@@ -66,13 +70,17 @@ def write_bundles(records: DataFrame, root: str, target: int = TARGET, most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, attempt, open_, at, number = Store(root), uuid.uuid4().hex[:12], None, None, 0
-        row = lambda b: pa.RecordBatch.from_pylist([b.written(store, attempt)], pa.schema(list(kinds.items())))
+        done: list[dict] = []
+        rows = lambda: pa.RecordBatch.from_pylist(done, pa.schema(list(kinds.items())))
         for batch in batches:
             for capture, span, offset, route, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = line.encode() + b"\n"
                 if open_ and ((capture, span) != at or open_.bytes >= target or open_.bytes + len(data) > most):
-                    yield row(open_)
+                    done.append(open_.written(store, attempt))
                     open_ = None
+                    if len(done) == INDEX_ROWS:
+                        yield rows()
+                        done = []
                 if (capture, span) != at:
                     at, number = (capture, span), 0
                 if open_ is None:
@@ -80,7 +88,9 @@ def write_bundles(records: DataFrame, root: str, target: int = TARGET, most: int
                     open_ = Bundle(capture, span, number)
                 open_.add(offset, route, data, width_ns)
         if open_:
-            yield row(open_)
+            done.append(open_.written(store, attempt))
+        if done:
+            yield rows()
 
     store = Store(root)
     store.forget("manifest.json")
@@ -122,6 +132,15 @@ def read_records(spark: SparkSession, root: str, schema: str, capture_id: str, f
     return rows.where(F.floor(F.col("offset_ns") / width_ns).between(first, last))
 
 
+def lines_of(data: bytes) -> int:
+    """Lines of a stored bundle, unpacked a piece at a time."""
+    n, last = 0, b"\n"
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        while piece := f.read(PIECE_BYTES):
+            n, last = n + piece.count(b"\n"), piece
+    return n + (not last.endswith(b"\n"))
+
+
 def bundle_faults(spark: SparkSession, root: str) -> DataFrame:
     """Bundles whose stored bytes or lines aren't those of the index; a task reads a bundle at a time."""
 
@@ -135,7 +154,7 @@ def bundle_faults(spark: SparkSession, root: str) -> DataFrame:
                     found.append((b, "missing"))
                 elif hashlib.sha256(data).hexdigest() != sha:
                     found.append((b, "sha256 differs"))
-                elif sum(1 for _ in store.lines(uri)) != n:
+                elif lines_of(data) != n:
                     found.append((b, "record count differs"))
             yield pa.RecordBatch.from_pydict({"bundle_id": pa.array([x for x, _ in found], pa.string()), "fault": pa.array([x for _, x in found], pa.string())})
 

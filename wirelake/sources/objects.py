@@ -59,6 +59,7 @@ class Store:
         except (pa.ArrowInvalid, OSError, ImportError) as e:
             raise ValueError(f"no file system for {root}; captures there are read by lake.read_capture") from e
         self.base = self.base.rstrip("/")
+        self.made: set[str] = set()
 
     def path(self, key: str) -> str:
         return f"{self.base}/{key}"
@@ -84,10 +85,17 @@ class Store:
 
     def write(self, key: str, data: bytes) -> None:
         path = self.path(key)
-        self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        self._folder_of(path)
         with self.fs.open_output_stream(path, compression=None) as f:
             f.write(data)
 
+    def _folder_of(self, path: str) -> None:
+        """Makes a path's folder, once."""
+        folder = path.rsplit("/", 1)[0]
+        if folder not in self.made:
+            self.fs.create_dir(folder, recursive=True)
+            self.made.add(folder)
+
     def read(self, key: str) -> bytes | None:
         if self.fs.get_file_info(self.path(key)).type != fs.FileType.File:
             return None
@@ -107,12 +115,13 @@ class Store:
     def move(self, key: str, to: str) -> None:
         """Puts an object where it belongs; one that was moved before is left alone."""
         if self.fs.get_file_info(self.path(key)).type == fs.FileType.File:
-            self.fs.create_dir(self.path(to).rsplit("/", 1)[0], recursive=True)
+            self._folder_of(self.path(to))
             self.fs.move(self.path(key), self.path(to))
 
     def remove(self, folder: str) -> None:
         if self.fs.get_file_info(self.path(folder)).type == fs.FileType.Directory:
             self.fs.delete_dir(self.path(folder))
+            self.made.clear()
 
     def folders(self, folder: str) -> list[str]:
         return self._names(folder, fs.FileType.Directory)
