@@ -170,6 +170,19 @@ def test_a_job_that_ends_before_its_manifests_publishes_none(spark, requests, tm
     assert sum(lake.read_slice(spark, str(tmp_path), "ns/c", i, 2).count() for i in range(2)) == 2000
 
 
+def test_slices_are_dealt_to_tasks_by_their_rows(spark, tmp_path, monkeypatch):
+    """A range has so many rows however many there are, whatever the shuffle's number of partitions; the order and the digests stay."""
+    monkeypatch.setattr(lake, "RANGE_ROWS", 100)
+    rows = spark.range(0, 2000, 1, 3).select(F.concat(F.lit("r"), "id").alias("id"), F.timestamp_seconds(F.lit(10**9) - F.col("id")).alias("timestamp"))
+    said = {r.shard: r.sha256 for r in lake.write_shards(rows, str(tmp_path), "ns/c", 2).collect()}
+    for i in range(2):
+        found = sorted((tmp_path / lake.slice_id("ns/c", i, 2)).glob("*.jsonl.gz"))
+        lines = [gzip.decompress(f.read_bytes()).splitlines() for f in found]
+        times = [json.loads(x)["timestamp"] for part in lines for x in part]
+        assert len(found) > 5 and max(map(len, lines)) < 300 and times == sorted(times)
+        assert hashlib.sha256(b"".join(gzip.decompress(f.read_bytes()) for f in found)).hexdigest() == said[i]
+
+
 def test_a_batch_that_comes_again_is_finished(tmp_path):
     """A stream's commit stops half-way; the same batch is written again under another run: each row is there once."""
     store = objects.Store(str(tmp_path))

@@ -22,6 +22,8 @@ from . import objects
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 #: Seconds of an object in a batch, where age doesn't matter.
 UNAGED = 1 << 30
+#: Rows of a range of a slice that one task sorts and writes.
+RANGE_ROWS = 100_000
 
 
 #: What a line is parsed with; the field tells a line that isn't JSON, or has a value that its column can't have.
@@ -142,7 +144,7 @@ def write_capture(df: DataFrame, root: str, capture_id: str, rows_per_object: in
 def write_shards(df: DataFrame, root: str, capture_id: str, count: int, rows_per_object: int | None = None, max_bytes: int = objects.MAX_BYTES) -> DataFrame:
     """Every row in one of `count` slices, in the order of object_key and line where there are such columns, else of time and id; gives shard, n and sha256 of each.
 
-    One shuffle deals ranges of a slice's order to tasks, which sort and write them; objects are named by the place of their range, so
+    One shuffle deals ranges of a slice's order, about RANGE_ROWS each however many there are, to tasks, which sort and write them; objects are named by the place of their range, so
     that keys have the slice's order. The digest is that of the slice's lines in it, taken from what is stored by a task a slice. Manifests are written after all data, for empty slices too.
     """
     if count < 2:
@@ -151,7 +153,8 @@ def write_shards(df: DataFrame, root: str, capture_id: str, count: int, rows_per
     order = ["object_key", "line"] if {"object_key", "line"} <= set(df.columns) else ["timestamp", "id"]
     named = S.with_shard(df, count)
     rows = _stored(named, F.concat(F.lit(f"{capture_id}/shards/"), F.col("shard").cast("string"), F.lit(f"-of-{count}")), F.lit(None), "shard", *(F.col(c).alias(f"_order{i}") for i, c in enumerate(order)))
-    rows = rows.repartitionByRange("shard", "_order0", "_order1").sortWithinPartitions("shard", "_order0", "_order1").select("capture", "day", "line")
+    ranges = max(count, -(-df.count() // RANGE_ROWS))
+    rows = rows.repartitionByRange(ranges, "shard", "_order0", "_order1").sortWithinPartitions("shard", "_order0", "_order1").select("capture", "day", "line")
     store, ids = objects.Store(root), [slice_id(capture_id, i, count) for i in range(count)]
     w = rows.write.format("capture").mode("overwrite").option("path", root).option("pod", "slice").option("maxBytes", max_bytes).option("maxAge", UNAGED)
     w = w.option("manifests", json.dumps(dict.fromkeys(ids, {}))).option("publish", "false")
