@@ -112,3 +112,22 @@ def test_keep_one_keeps_columns_of_any_names(spark):
         assert got.columns == docs.columns
         found = [(r.doc_id, r.text) for r in got.collect()]
         assert sorted(d for d, _ in found if d) == [1, 3] and [t for d, t in found if d is None] == ["own words here"]
+
+
+def test_components_of_few_links_need_no_shuffle(spark):
+    """Steps on links that fit a partition are one task each; roots of roots and new links are those of all links."""
+    from wirelake.llm import components, shingles
+
+    r = random.Random(5)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)]
+    edges = spark.createDataFrame([(max(p), min(p)) for p in pairs if p[0] != p[1]], "u long, v long").coalesce(1).checkpoint()
+    for larger in (True, False):
+        assert "Exchange" not in components._star(edges, larger, 1)._jdf.queryExecution().executedPlan().toString()
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    whole = {tuple(x) for x in components.components(frame(pairs)).collect()}
+    assert {tuple(x) for x in shingles._joined(components.components(frame(pairs[:90])), frame(pairs[90:])).collect()} == whole
+    root = list(range(300))
+    for _ in pairs:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert whole == {(i, x) for i, x in enumerate(root) if i != x}

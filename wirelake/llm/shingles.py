@@ -167,9 +167,14 @@ def _fingerprinted(nodes: DataFrame) -> DataFrame:
     return same.union(linked).where("a <> b").distinct()
 
 
-def _placed(near: DataFrame, links: DataFrame) -> DataFrame:
-    """band, node and root (of the component by the links so far) of every row of near."""
-    return checkpoint(near.join(sent(components(links)), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+def _placed(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, node and root (of the component so far) of every row of near."""
+    return checkpoint(near.join(sent(roots), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node and root of the components that links make of those so far, of which each node's root is all that is needed."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")))
 
 
 def _few(placed: DataFrame, turn: int, parts: int) -> DataFrame:
@@ -199,16 +204,16 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     members = checkpoint(rows.select("text", "at").join(sent(place), "at").groupBy("node").agg(F.first("text").alias("text")))
     parts = parts_of(near.count())
     near = near.coalesce(parts)
-    links = _verified(tried, members, shingle)
+    roots = components(_verified(tried, members, shingle))
     for turn in range(ROUNDS):
-        pairs = _few(_placed(near, links), turn, parts)
+        pairs = _few(_placed(near, roots), turn, parts)
         pairs = checkpoint(pairs.join(sent(tried), ["a", "b"], "left_anti").coalesce(parts))
-        links, tried = links.union(_verified(pairs, members, shingle)), tried.union(pairs)
-    placed = _placed(near, links)
+        roots, tried = _joined(roots, _verified(pairs, members, shingle)), tried.union(pairs)
+    placed = _placed(near, roots)
     split = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
     open_ = checkpoint(placed.join(sent(checkpoint(split)), "band").select("node", "root").distinct())
     rest = checkpoint(_met(open_, members, shingle).join(sent(tried), ["a", "b"], "left_anti"))
-    links = links.union(_verified(rest, members, shingle))
-    each = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    roots = _joined(roots, _verified(rest, members, shingle))
+    each = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = each.groupBy("root").agg(F.min("least").alias("component_id"))
     return nodes.select("doc_id", "at", "node").join(each.join(least, "root").select("node", "component_id"), "node").select("doc_id", "at", "component_id")
