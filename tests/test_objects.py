@@ -244,6 +244,39 @@ def test_a_slice_is_sorted_and_written_by_several_tasks(spark, requests, tmp_pat
         assert [json.loads(x)["id"] for x in lines] == want
 
 
+def test_tasks_of_a_read_follow_its_bytes(tmp_path, monkeypatch):
+    """24 MB of objects, some 300 MB of lines, are several tasks for tables and streams; small objects count for their opening; a huge capture has larger parts."""
+    (tmp_path / "ns/c").mkdir(parents=True)
+    for i in range(24):
+        (tmp_path / f"ns/c/a-{i + 1:06d}.jsonl.gz").write_bytes(bytes(1 << 20))
+    options = {"path": str(tmp_path), "capture": "ns/c"}
+    reader, stream = objects.CaptureReader(options), objects.CaptureStream(options)
+    keys = [f"ns/c/a-{i + 1:06d}.jsonl.gz" for i in range(24)]
+    for found in (reader.partitions(), stream.partitions({}, stream.latestOffset())):
+        assert len(found) >= 8 and [k for p in found for k in p.keys] == keys
+    assert len(objects.packed([(f"k{i}", 100) for i in range(10_000)], 2 << 20)) > 10
+    monkeypatch.setattr(objects, "PARTITIONS", 4)
+    assert 4 <= len(reader.partitions()) <= 5
+    assert len(objects.CaptureReader(options | {"partitionBytes": "4000"}).partitions()) == 24
+
+
+def test_a_schema_leaves_out_columns_but_no_check(spark, tmp_path):
+    put(tmp_path / "ns/c/2026-01-15", "a-000001.jsonl.gz", [x for x, _ in LINES])
+    objects.register(spark)
+    whole = source(spark, tmp_path, "ns/c")
+    of = lambda read, schema: read.format("capture").schema(schema).option("path", str(tmp_path)).option("capture", "ns/c").load()
+    some = of(spark.read, "contentLength long, timestamp timestamp, line long, id string")
+    assert some.columns == ["contentLength", "timestamp", "line", "id"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.select(*some.columns).collect()))
+    assert some.where(F.col("timestamp") >= F.lit(dt.datetime(2026, 1, 15, 12, 0, 1))).count() == 1
+    query = of(spark.readStream, "headers map<string,array<string>>, id string").writeStream.format("memory").queryName("some_columns").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(str, spark.table("some_columns").collect())) == sorted(map(str, whole.select("headers", "id").collect()))
+    for wrong in ("id long", "id string, nothing string"):
+        with pytest.raises(Exception, match="there is no"):
+            of(spark.read, wrong).collect()
+
+
 def test_a_stream_reads_objects_as_they_come(spark, tmp_path):
     objects.register(spark)
 

@@ -87,15 +87,15 @@ def streamed_metrics(spark, sf_dir) -> DataFrame:
 @query("select capture_date::varchar as day, count(*) n, sum(content_length)::bigint bytes from captured where starts_with(path, '/api/v1') group by 1", CAPTURED)
 def streamed_objects(spark, sf_dir) -> DataFrame:
     """A stream writes a capture's objects by bytes and age; another one reads them as they come, over its own offsets."""
-    root = fresh_path(spark, "stream")
+    root, columns = fresh_path(spark, "stream"), "id string, timestamp timestamp, contentLength long"
     rows = captured(spark, sf_dir).drop("object_key", "line", "capture_date", "capture_id")
     for part in (0, 1):
         rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part).write.mode("append").json(f"{root}/landing")
         df = jobs.prepared(jobs.requests(spark, f"{root}/landing"), S.path_prefix("/api/v1"))
         jobs.ingest_objects(df, f"{root}/lake", "ns/live", f"{root}/ingest", None, max_bytes=1 << 20).awaitTermination()
-        read = spark.readStream.format("capture").option("path", f"{root}/lake").option("capture", "ns/live").load().select("id", "timestamp", "contentLength")
+        read = spark.readStream.format("capture").schema(columns).option("path", f"{root}/lake").option("capture", "ns/live").load()
         read.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/read").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("id string, timestamp timestamp, contentLength long").parquet(f"{root}/out")
+    out = spark.read.schema(columns).parquet(f"{root}/out")
     return out.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("contentLength").alias("bytes"))
 
 

@@ -1,9 +1,10 @@
 """Captures as a Spark data source: `spark.read.format("capture")`, `readStream`, `write` and `writeStream`.
 
 Reading: a partition is a few whole objects in order of their keys; filters on the time leave out whole days before
-their folders are listed. A stream's offset is the highest number of each pod's objects. Writing: a task keeps a buffer
-for each folder, which ends an object at so many bytes or so old a line; objects are staged, and the commit moves them
-and writes the manifests last, so that a failed task or job leaves nothing that a reader sees as whole.
+their folders are listed; a schema of some of the columns leaves out the others, not the check of a line. A stream's
+offset is the highest number of each pod's objects. Writing: a task keeps a buffer for each folder, which ends an object
+at so many bytes or so old a line; objects are staged, and the commit moves them and writes the manifests last, so that
+a failed task or job leaves nothing that a reader sees as whole.
 
 Objects are reached through pyarrow's file systems, by their URI (local, HDFS, S3, GCS); a path that only Spark's own
 readers know is refused with a message.
@@ -30,18 +31,22 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from .. import schemas
 
 #: Where an object ends (fixed values): bytes of its lines before compression, and seconds since its first one.
 MAX_BYTES, MAX_AGE_S = 10 << 20, 5.0
-#: Compressed bytes of a partition, about; rows of a batch; buffered bytes of all folders of a task; moves at a time.
-PARTITION_BYTES, BATCH_ROWS, TASK_BYTES, MOVES = 64 << 20, 5_000, 128 << 20, 32
+#: Compressed bytes of a partition, about, some seconds of parsing; what opening an object counts as; partitions at most, larger ones take the rest.
+PARTITION_BYTES, OPEN_BYTES, PARTITIONS = 2 << 20, 16 << 10, 10_000
+#: Rows of a batch; buffered bytes of all folders of a task; moves at a time.
+BATCH_ROWS, TASK_BYTES, MOVES = 5_000, 128 << 20, 32
 PIECE_BYTES = 1 << 20
 VERSION = 1
 #: Rows to write: the capture, the day (null for none) and the line.
 LINES = "capture string, day string, line string"
 ROW = schemas.REQUEST + ", object_key string, line bigint"
+TYPES = dict(x.split(" ") for x in ROW.split(", "))
 DAY = re.compile(r"(?:day=)?(\d{4}-\d{2}-\d{2})\Z")
 NAME = re.compile(r"(.+)-(\d{6,})\.jsonl?\.gz\Z")
 ARROW = pa.schema([
@@ -149,7 +154,7 @@ def day_of(name: str) -> dt.date | None:
 def request(line: bytes) -> dict | None:
     """A line's request, or nothing if the line is malformed, by the same rule as lake.parsed: no JSON object, or a value that its field can't have."""
     try:
-        x = json.loads(line, parse_float=Raw)
+        x = DECODE(line.decode("utf-8", "surrogatepass")) if line[:1] == b"{" and line[1:2] != b"\0" else json.loads(line, parse_float=Raw)  # other encodings are looked for
         if not isinstance(x, dict):
             return None
         at, body, length = x.get("timestamp"), x.get("body"), x.get("contentLength")
@@ -178,6 +183,9 @@ class Raw(float):
         return self
 
 
+DECODE = json.JSONDecoder(parse_float=Raw).decode
+
+
 def _text(x) -> str:
     """A value of a text field: what is no text is taken as it is written."""
     return x if isinstance(x, str) else x.text if isinstance(x, Raw) else json.dumps(x, separators=(",", ":"), ensure_ascii=False)
@@ -200,15 +208,19 @@ BOUNDS = (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
 
 
 class CaptureReader(DataSourceReader):
-    """Good rows of a capture. Options: path (the root), capture, start and end (ISO times, both belong to the range), partitionBytes."""
+    """Good rows of a capture, with the columns of the schema. Options: path (the root), capture, start and end (ISO times, both belong to the range), partitionBytes."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: StructType | None = None):
         options = {k.lower(): v for k, v in options.items()}
         self.root, self.capture = options["path"], options["capture"]
         times = [dt.datetime.fromisoformat(options[k]) if options.get(k) else None for k in ("start", "end")]
         self.start, self.end = (t.replace(tzinfo=dt.UTC) if t and t.tzinfo is None else t for t in times)
         self.first, self.last = (t.astimezone(dt.UTC).date() if t else None for t in (self.start, self.end))
-        self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.bytes = int(options["partitionbytes"]) if options.get("partitionbytes") else None
+        asked = {f.name: f.dataType.simpleString() for f in schema.fields} if schema else TYPES
+        if wrong := [f"{c} {t}" for c, t in asked.items() if TYPES.get(c) != t]:
+            raise ValueError(f"a capture's columns are {ROW}; there is no {', '.join(wrong)}")
+        self.arrow = pa.schema([ARROW.field(c) for c in asked])
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Bounds of the time leave out days; Spark still applies them to the rows."""
@@ -225,23 +237,37 @@ class CaptureReader(DataSourceReader):
         return not (self.first and day < self.first or self.last and day > self.last)
 
     def partitions(self) -> list[Objects]:
-        return packed(Store(self.root).find(self.capture, self.wanted), self.bytes)
+        return self.dealt(Store(self.root).find(self.capture, self.wanted))
+
+    def dealt(self, found: list[tuple[str, int]]) -> list[Objects]:
+        """Objects by tasks; their number follows the bytes, so that a capture of any size is read by all cores."""
+        return packed(found, self.bytes or max(PARTITION_BYTES, sum(size + OPEN_BYTES for _, size in found) // PARTITIONS))
 
     def read(self, partition: Objects | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        store, rows = Store(self.root), []
+        store, n_rows = Store(self.root), 0
+        columns: list[tuple[str, list]] = [(c, []) for c in self.arrow.names]
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(values, self.arrow.field(c).type) for c, values in columns], schema=self.arrow)
+            for _, values in columns:
+                values.clear()
+            return out
+
         for key in partition.keys:
             for n, line in enumerate(store.lines(key)):
                 row = request(line)
                 if row is None or not self.inside(row["timestamp"]):
                     continue
-                rows.append(row | {"object_key": key, "line": n})
-                if len(rows) == BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, ARROW)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, ARROW)
+                row["object_key"], row["line"] = key, n
+                for c, values in columns:
+                    values.append(row[c])
+                n_rows += 1
+                if n_rows % BATCH_ROWS == 0:
+                    yield batch()
+        if n_rows % BATCH_ROWS:
+            yield batch()
 
     def inside(self, at: dt.datetime | None) -> bool:
         """A row without a time is in no range."""
@@ -255,15 +281,15 @@ def manifest_of(capture: str, n: int, sha256: str | None, fields: dict) -> bytes
 
 
 def packed(objects: list[tuple[str, int]], most: int) -> list[Objects]:
-    """Objects in order, in partitions of so many bytes; a larger one is alone."""
+    """Objects in order, in partitions of so many bytes, opening them included; a larger one is alone."""
     out: list[Objects] = []
     held = 0
     for key, size in objects:
-        if not out or held + size > most:
+        if not out or held + size + OPEN_BYTES > most:
             out.append(Objects([]))
             held = 0
         out[-1].keys.append(key)
-        held += size
+        held += size + OPEN_BYTES
     return out
 
 
@@ -286,7 +312,7 @@ class CaptureStream(CaptureReader, DataSourceStreamReader):
             m = NAME.match(key.rsplit("/", 1)[-1])
             if m and start.get(m.group(1), 0) < int(m.group(2)) <= end.get(m.group(1), 0):
                 new.append((key, size))
-        return packed(new, self.bytes)
+        return self.dealt(new)
 
     def commit(self, end: dict) -> None:
         """Objects stay."""
@@ -416,10 +442,10 @@ class CaptureSource(DataSource):
         return ROW
 
     def reader(self, schema) -> CaptureReader:
-        return CaptureReader(dict(self.options))
+        return CaptureReader(dict(self.options), schema)
 
     def streamReader(self, schema) -> CaptureStream:
-        return CaptureStream(dict(self.options))
+        return CaptureStream(dict(self.options), schema)
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(dict(self.options), overwrite)
